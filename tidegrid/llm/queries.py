@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, ogg, shards
+from . import bpe, decontam, ogg, shards, simhash
 from .common import table
 
 
+def word_bpe() -> str:
+    """Place of the vocabulary file that the BPE query encodes with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents"))
+
+
 def op2_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = ogg.to_media(table(spark, sf_dir, "documents"))
     return ogg.features(stored).withColumnRenamed("key", "doc_id")
@@ -24,6 +35,10 @@ def op8_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(table(spark, sf_dir, "documents"), shards.tree(40), shards.tree(41, built=40))
 
 
-QUERIES = {f.__name__: f for f in (op2_ogg_media, op6_decontaminate, op8_hash_tree_shards)}
+def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), word_bpe())
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_groups, op2_ogg_media, op6_decontaminate, op8_hash_tree_shards, op10_bpe_round_trip)}
 
 ORACLE_SQL: dict[str, str] = {}
