@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, ogg, shards, simhash
+from . import bpe, decontam, langid, ogg, shards, simhash
 from .common import table
 
 
@@ -35,10 +35,14 @@ def op8_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(table(spark, sf_dir, "documents"), shards.tree(40), shards.tree(41, built=40))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), word_bpe())
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_groups, op2_ogg_media, op6_decontaminate, op8_hash_tree_shards, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_simhash_groups, op2_ogg_media, op6_decontaminate, op8_hash_tree_shards, op9_language_id, op10_bpe_round_trip)}
 
 ORACLE_SQL: dict[str, str] = {}
