@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, ogg, shards, simhash
+from . import bpe, decontam, langid, ogg, shards, simhash, suffix
 from .common import table
 
 
@@ -25,6 +25,11 @@ def op2_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.features(stored).withColumnRenamed("key", "doc_id")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix.cleaned(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     hit = decontam.hit_words()
@@ -43,6 +48,6 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), word_bpe())
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_groups, op2_ogg_media, op6_decontaminate, op8_hash_tree_shards, op9_language_id, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_simhash_groups, op2_ogg_media, op4_suffix_dedup, op6_decontaminate, op8_hash_tree_shards, op9_language_id, op10_bpe_round_trip)}
 
 ORACLE_SQL: dict[str, str] = {}
