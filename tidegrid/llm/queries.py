@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, ogg, shards, simhash, suffix, unigram, urls
+from . import bpe, decontam, langid, mixing, ogg, shards, simhash, suffix, unigram, urls
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+def op7_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.score(table(spark, sf_dir, "documents"))
+
+
 def op8_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(table(spark, sf_dir, "documents"), shards.tree(40), shards.tree(41, built=40))
 
@@ -63,6 +67,6 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), word_bpe())
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_groups, op2_ogg_media, op3_url_filter, op4_suffix_dedup, op5_token_counts, op6_decontaminate, op8_hash_tree_shards, op9_language_id, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_simhash_groups, op2_ogg_media, op3_url_filter, op4_suffix_dedup, op5_token_counts, op6_decontaminate, op7_context_mixing, op8_hash_tree_shards, op9_language_id, op10_bpe_round_trip)}
 
 ORACLE_SQL: dict[str, str] = {}
