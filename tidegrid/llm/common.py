@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,14 +55,6 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
 
 
-def map_blocks(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(step, schema)
-
-
-def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in schema], schema=schema)
-
-
 def settled(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder.
 
@@ -82,3 +74,17 @@ def partitions(df: DataFrame) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def as_text(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Binary to text; bytes that aren't UTF-8 are left out. A column named ``out`` is replaced."""
+    df = df.drop(out) if out != column else df
+    names = df.columns
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = [None if x is None else x.decode("utf-8", "ignore") for x in b.column(column).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()) if n == column else b.column(n) for n in names], names=names)
+
+    schema = ", ".join(f"`{f.name}` {'string' if f.name == column else f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInArrow(step, schema).withColumnRenamed(column, out)
