@@ -6,7 +6,8 @@ string has one anchor: of its ``gram``-byte substrings the one with the least ha
 thus splits its strings into short runs, one for each anchor.
 
 1. Runs are dealt and sorted by (anchor, bytes of the run). Anchors that occur once
-   are done. A run whose bytes occur again is repeated as a whole.
+   are done. A run whose bytes occur again is repeated as a whole; where that shows
+   within a block of texts already, only one of the copies is dealt by its anchor.
 2. Where an anchor has several different runs, one of each kind enters the index of
    its partition. New batches get a suffix array, are merge-scanned against the
    levels there are, and join them; levels of equal size merge, so there are few.
@@ -193,7 +194,8 @@ class Family:
 
 # --- the operator -----------------------------------------------------------------
 
-_RUN = "khash long, rhash long, ida long, idb long, first int, last int"
+#: copies: 1 if the block has more of this run. khash is null in those; they are settled, and dealt evenly.
+_RUN = "khash long, rhash long, ida long, idb long, first int, last int, copies int, deal long"
 #: kind 1: repeated as a whole; 2: to be searched; 3: repeated as a whole, and others may match parts of it.
 _KIND = "ida long, idb long, first int, last int, khash long, kind int"
 
@@ -205,9 +207,14 @@ def _classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     of its copies and whether its anchor had another run before, so memory doesn't
     depend on how often an anchor occurs.
     """
-    fields = ("khash", "rhash", "ida", "idb", "first", "last")
-    held, copies, before = None, 0, False
+    fields = ("khash", "rhash", "ida", "idb", "first", "last", "copies")
+    held, before = None, False
     for b in batches:
+        settled_rows = b.filter(b.column("khash").is_null())
+        if settled_rows.num_rows:
+            c = {f: settled_rows.column(f).to_numpy(zero_copy_only=False) for f in ("ida", "idb", "first", "last")}
+            yield from _kinds(c | {"khash": np.zeros(settled_rows.num_rows, np.int64)}, np.ones(settled_rows.num_rows, np.int32))
+            b = b.filter(b.column("khash").is_valid())
         c = {f: b.column(f).to_numpy(zero_copy_only=False) for f in fields}
         if held is not None:
             c = {f: np.concatenate([held[f], c[f]]) for f in fields}
@@ -216,8 +223,7 @@ def _classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         other = c["khash"][1:] != c["khash"][:-1]
         begin = np.flatnonzero(np.concatenate([[True], other | (c["rhash"][1:] != c["rhash"][:-1])]))
-        size = np.diff(np.append(begin, n))
-        size[0] += copies
+        size = np.diff(np.append(begin, n)) + np.add.reduceat(c["copies"], begin)
         after_own = np.concatenate([[before], ~other[begin[1:] - 1]])  # the run before has the same anchor
         several = after_own | np.append(after_own[1:], False)
         kind = np.ones(n, np.int32)  # a row after the first of its run is a copy
@@ -225,8 +231,10 @@ def _classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_at = begin[-1]
         kind[open_at] = 0
         yield from _kinds(c, kind)
-        held, copies, before = {f: v[open_at : open_at + 1] for f, v in c.items()}, int(size[-1]) - 1, bool(after_own[-1])
+        held, before = {f: v[open_at : open_at + 1].copy() for f, v in c.items()}, bool(after_own[-1])
+        held["copies"][0] = min(1, int(size[-1]) - 1)
     if held is not None:
+        copies = held["copies"][0]
         yield from _kinds(held, np.array([(3 if before else 1) if copies else 2 if before else 0], np.int32))
 
 
@@ -249,10 +257,18 @@ def repeats(docs: DataFrame, width: int = 200, gram: int = 40, batch: int = 1 <<
             texts = Bytes(b.column("text"))
             ida, idb = (b.column(c).to_numpy(zero_copy_only=False) for c in ("ida", "idb"))
             for t, first, last, k, r in runs_of(texts.data, texts.start, width, gram):
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(r.view(np.int64)), pa.array(ida[t]), pa.array(idb[t]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["khash", "rhash", "ida", "idb", "first", "last"])
+                order = np.lexsort((r, k))
+                k, r, t, first, last = k[order], r[order], t[order], first[order], last[order]
+                lead = np.concatenate([[True], (k[1:] != k[:-1]) | (r[1:] != r[:-1])]) if len(k) else np.zeros(0, bool)
+                more = lead & ~np.append(lead[1:], True)
+                place = (idb[t].view(np.uint64) + first.astype(np.uint64) * _MIX[0]) * _MIX[1]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(k.view(np.int64), mask=~lead), pa.array(r.view(np.int64)), pa.array(ida[t]), pa.array(idb[t]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(more.astype(np.int32)), pa.array(np.where(lead, k, place).view(np.int64))],
+                    names=["khash", "rhash", "ida", "idb", "first", "last", "copies", "deal"],
+                )
 
     runs = docs.select("ida", "idb", "text").mapInArrow(cut, _RUN)
-    found = settled(runs.repartition(n, "khash").sortWithinPartitions("khash", "rhash").mapInArrow(_classified, _KIND))
+    found = settled(runs.repartition(n, "deal").sortWithinPartitions("khash", "rhash").mapInArrow(_classified, _KIND))
     searched = found.where("kind > 1")
     many = searched.count()
     wanted = searched.groupBy("ida", "idb").agg(F.collect_list(F.struct("khash", "first", "last", "kind")).alias("wanted"))
