@@ -48,7 +48,7 @@ def tag_test(w) -> Column:
     value = tag(w.tag)
     if w.op == "exists":
         return value.isNotNull()
-    return F.coalesce(value == w.value if w.op == "=" else value != w.value, F.lit(False))
+    return value == w.value if w.op == "=" else value != w.value  # a missing tag makes it null, which doesn't pass
 
 
 def select(catalog: Catalog, of: n.Get | n.Lookup, tags: Iterable[n.Tag], need_tags: bool) -> list[tuple[Bucket, DataFrame, Column | None]]:
