@@ -39,8 +39,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut every 200-byte string that starts elsewhere too; characters that a cut splits go. n_chars is counted anew."""
     rest = docs.select(F.struct("doc_id", "lang", "source").alias("row"), "text")
-    done = common.as_text(suffix.cleaned(rest, "row"), "kept", "text")
-    return done.select("row.doc_id", "text", "row.lang", "row.source", F.length("text").cast("long").alias("n_chars"))
+    done = suffix.cleaned(rest, "row", as_text=True)
+    return done.select("row.doc_id", F.col("kept").alias("text"), "row.lang", "row.source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +50,10 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document (little-endian unsigned 32-bit integers), checked by decoding them."""
-    coded = bpe.decode(bpe.encode(docs.select(*COLUMNS), queries.word_bpe()), queries.word_bpe())
-    return coded.select("doc_id", "lang", "source", "n_chars", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Token ids of every document (little-endian unsigned 32-bit integers), with digests of them and of what they decode to."""
+    rest = docs.select(F.struct("doc_id", "lang", "source", "n_chars").alias("row"), "text")
+    coded = bpe.round_trip(rest, queries.word_bpe(), "row", keep_ids=True)
+    return coded.select("row.*", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [

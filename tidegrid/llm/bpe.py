@@ -33,7 +33,7 @@ _SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t\n\v\f\r a-
 #: Below U+0378 every code point is assigned.
 _HIGH = re.compile("[^\x00-\u0377]")
 #: Words that a worker remembers; beyond that it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 
 
 def byte_letters() -> list[str]:
@@ -294,18 +294,22 @@ def _mapped(df: DataFrame, path: str, source: str, out: str, kind: str, make) ->
     return df.mapInArrow(step, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{out}` {kind}"]))
 
 
-def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256): encode and decode in one pass, keeping digests only."""
+def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256), and ids if kept: encode and decode in one pass.
+
+    Null and empty texts have no tokens; null keys and repeated rows stay.
+    """
     sent = sent_model(docs.sparkSession, path)
+    kept = ["ids"] if keep_ids else []
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(sent.value, path)
         for b in blocks(batches, "body"):
             ids = codec.encode(b.column("body").to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [b.column("key"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids]), pa.array([hashlib.sha256(codec.decode(i).encode()).hexdigest() for i in ids])],
-                names=[key, "n_tokens", "ids_sha256", "decoded_sha256"],
+                [b.column("key"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids]), pa.array([hashlib.sha256(codec.decode(i).encode()).hexdigest() for i in ids]), *([pa.array(ids, pa.binary())] if kept else [])],
+                names=[key, "n_tokens", "ids_sha256", "decoded_sha256", *kept],
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("body")).mapInArrow(step, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("body")).mapInArrow(step, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{', ids binary' if kept else ''}")

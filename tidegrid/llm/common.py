@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes handled by one vectorised step of a Python worker.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 class Bytes:
@@ -75,16 +75,3 @@ def partitions(df: DataFrame) -> int:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-
-def as_text(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Binary to text; bytes that aren't UTF-8 are left out. A column named ``out`` is replaced."""
-    df = df.drop(out) if out != column else df
-    names = df.columns
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            text = [None if x is None else x.decode("utf-8", "ignore") for x in b.column(column).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()) if n == column else b.column(n) for n in names], names=names)
-
-    schema = ", ".join(f"`{f.name}` {'string' if f.name == column else f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(step, schema).withColumnRenamed(column, out)

@@ -29,7 +29,7 @@ from .common import Bytes, blocks, partitions, settled
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 #: Windows that one vectorised step covers.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -321,13 +321,14 @@ def identified(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.xxhash64(F.col(key)).alias("ida"), F.xxhash64(F.col(text)).alias("idb"), F.col(text).alias("text"), F.col(key).alias("key"))
 
 
-def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 200, gram: int = 40, **tuning) -> DataFrame:
+def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 200, gram: int = 40, as_text: bool = False, **tuning) -> DataFrame:
     """(key, kept, n_bytes, spans): each text's bytes without repeated strings.
 
     spans are the maximal removed runs, as [first, last) bytes. Null and empty texts
     and those of fewer than ``width`` bytes keep all they have; null keys and
     repeated rows stay (repeated rows are copies, so their strings go). Strings are
-    judged on the input. Removal may cut a character in two: ``kept`` is binary.
+    judged on the input. Removal may cut a character in two, so ``kept`` is
+    binary; with ``as_text`` it is text without such parts of characters.
     """
     known = identified(docs, key, text)
     gone = repeats(known, width, gram, **tuning).groupBy("ida", "idb").agg(F.collect_list(F.struct("first", "last")).alias("gone"))
@@ -349,6 +350,6 @@ def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
                 kept.append(b"".join(t[a:z] for a, z in zip(edge[::2], edge[1::2])))
                 sizes.append(len(t))
                 spans.append([{"first": a, "last": z} for a, z in out])
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))], names=[key, "kept", "n_bytes", "spans"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))], names=[key, "kept", "n_bytes", "spans"])
 
-    return joined.mapInArrow(step, f"`{key}` {kind}, kept binary, n_bytes long, spans array<struct<first:long,last:long>>")
+    return joined.mapInArrow(step, f"`{key}` {kind}, kept {'string' if as_text else 'binary'}, n_bytes long, spans array<struct<first:long,last:long>>")
