@@ -254,7 +254,7 @@ def test_suffix_dedup_odd(odd, none, spark):
     assert suffix.cleaned(none).collect() == []
 
 
-@pytest.mark.parametrize("tuning", [{}, {"batch": 7, "pieces_in_task": 3}])
+@pytest.mark.parametrize("tuning", [{}, {"batch": 7, "pieces_in_task": 3}, {"hot": 0}, {"hot": 4}])
 def test_suffix_dedup_of_dense_repeats(spark, tuning):
     """Small alphabets, periods and shared passages: many levels, ties of hashes, overlaps."""
     rng = random.Random(5)
@@ -526,3 +526,40 @@ def test_compatibility_is_exact():
     two = rng.choices([*[(w, t, False) for w, t in m.inside.items()], *[(w, t, True) for w, t in m.ending.items()]], k=4000)
     ok = m.compatible(np.array([t for _, t in one]), np.array([t for _, t, _ in two]))
     assert all((m.merged(a + b, end)[0] == [x, y]) == good for (a, x), (b, y, end), good in zip(one, two, ok))
+
+
+# --- SQL --------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_oracle_sql(spark, sf_dir, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    found = con.execute(queries.ORACLE_SQL[name])
+    columns = [d[0] for d in found.description]
+    wanted = sorted(found.fetchall())
+    frame = queries.QUERIES[name](spark, sf_dir)
+    assert sorted(frame.columns) == sorted(columns) and sorted(tuple(r) for r in frame.select(*columns).collect()) == wanted
+
+
+def test_queries_have_the_stated_columns(spark, sf_dir):
+    """Names and types of the columns that each query promises."""
+    wanted = {
+        "op1_simhash_groups": "doc_id:bigint fingerprint:string component_id:bigint",
+        "op2_ogg_media": "doc_id:bigint n_bytes:bigint payload_bytes:bigint payload_sha256:string tail_crc32:bigint media_bytes:bigint media_sha256:string feature:string",
+        "op3_url_filter": "page_id:bigint host:string path:string rule:string verdict:string",
+        "op4_suffix_dedup": "doc_id:bigint n_bytes:bigint n_removed:bigint n_spans:bigint kept_sha256:string",
+        "op5_token_counts": "doc_id:bigint n_words:bigint n_tokens:bigint",
+        "op6_decontaminate": "doc_id:bigint n_words:bigint n_hit:bigint n_items:bigint items_sha256:string contaminated:boolean",
+        "op7_context_mixing": "doc_id:bigint held_out:boolean n_tokens:bigint n_known:bigint train_tokens:bigint base_score:double score:double",
+        "op8_hash_tree_shards": "doc_id:bigint size:bigint text_crc32:bigint law:string shard:int slot:bigint grown_shard:int",
+        "op9_language_id": "doc_id:bigint held_out:boolean lang_pred:string score:double",
+        "op10_bpe_round_trip": "doc_id:bigint n_tokens:bigint ids_sha256:string decoded_sha256:string",
+    }
+    assert set(wanted) == set(queries.QUERIES)
+    for name, columns in wanted.items():
+        have = dict(queries.QUERIES[name](spark, sf_dir).dtypes)
+        assert {c: have.get(c) for c in dict(x.split(":") for x in columns.split())} == dict(x.split(":") for x in columns.split())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, decontam, langid, mixing, ogg, shards, simhash, suffix, unigram, urls
 from .common import table
+from .oracles import ORACLE_SQL  # noqa: F401  (registered with the queries)
 
 
 def pieces() -> str:
@@ -68,5 +69,3 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash_groups, op2_ogg_media, op3_url_filter, op4_suffix_dedup, op5_token_counts, op6_decontaminate, op7_context_mixing, op8_hash_tree_shards, op9_language_id, op10_bpe_round_trip)}
-
-ORACLE_SQL: dict[str, str] = {}
