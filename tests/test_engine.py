@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegrid import Engine
 from tidegrid.functions import Function, builtin
-from tidegrid.plans.errors import BadArgument, NoSeries, ResolutionConflict, UnknownBucket
+from tidegrid.plans.errors import BadArgument, NoSeries, QueryTimeout, ResolutionConflict, UnknownBucket
 from tidegrid.sources.catalog import Bucket, Catalog, EventSource, open_store, tag_key, write_store
 
 A = [3.0, None, 5.0, -2.0, None, None, 8.0, 1.0]
@@ -212,6 +212,26 @@ def test_results_and_metadata(catalog):
     assert start == 1500 and one["name"] == "'n'.'a'.'1'" and one["metadata"] == {"a": "x", "b": "5", "c": "1"} and one["data"] == [(3.0, 1.0), (3.0, 0.0)]
 
 
+def test_slow_queries_are_logged_and_late_ones_end(catalog, spark, caplog):
+    assert Engine(catalog, slow_s=0).run(f"SELECT {X} {T}", timeout_s=60)[1] and "slow query" in caplog.text
+
+    def slow(start, end):
+        return spark.range(1 << 40).selectExpr("array('x') AS path", "id % 8 AS idx", "rand() AS value").groupBy("path", "idx").agg(F.max("value").alias("value"))
+
+    stuck = Catalog(spark)
+    stuck.add_bucket(Bucket("s", 1000, slow), spark.sql("SELECT array('x') AS path, map('a', 'b') AS tags"))
+    with pytest.raises(QueryTimeout):
+        Engine(stuck).run(f"SELECT 'x' BUCKET 's' {T}", timeout_s=2)
+
+
+def test_tag_predicates_reach_the_scan(spark, sf_dir):
+    from tidegrid.queries import _T
+    from tidegrid.sources import tables
+
+    plan = Engine(tables.catalog(spark, sf_dir)).prepare(f"SELECT ALL FROM 'shards' WHERE 'type' = 'click' {_T}", check=False).explain()
+    assert "EqualTo(event_type,click)" in plan
+
+
 def test_user_functions(catalog):
     own = builtin()
     own.add(Function("span", "agg", "metric", ("time",), "metric", lambda: F.max("value") - F.min("value")))

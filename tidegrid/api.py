@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import logging
+import threading
 import time
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
 from .functions import Registry, builtin
 from .plans.binder import Item, Plan, bind
-from .plans.errors import NoResults
+from .plans.errors import NoResults, QueryTimeout
 from .plans.lower import Lowering
 from .plans.parser import parse
 from .sources.catalog import Catalog
 
 
+log = logging.getLogger(__name__)
+
+
 @dataclass(frozen=True)
 class Prepared:
     """A query as lazy DataFrames.
@@ -40,8 +48,8 @@ class Prepared:
 class Engine:
     """Runs queries over a catalog. The clock and the functions can be replaced."""
 
-    def __init__(self, catalog: Catalog, functions: Registry | None = None, now_ms: int | None = None):
-        self.catalog, self.functions, self.now_ms = catalog, functions or builtin(), now_ms
+    def __init__(self, catalog: Catalog, functions: Registry | None = None, now_ms: int | None = None, slow_s: float = 5.0):
+        self.catalog, self.functions, self.now_ms, self.slow_s = catalog, functions or builtin(), now_ms, slow_s
 
     def prepare(self, text: str, check: bool = True, block: int | None = None) -> Prepared:
         """Parse, bind and lower. ``check`` looks up whether selectors match anything; ``block`` sets the length that one task fills."""
@@ -49,8 +57,39 @@ class Engine:
         metrics, events = Lowering(self.catalog, plan, check, block).lowered()
         return Prepared(plan, metrics, events)
 
-    def run(self, text: str) -> tuple[int, list[dict]]:
+    @contextmanager
+    def _limited(self, text: str, timeout_s: float | None) -> Iterator[None]:
+        """Cancels the query's jobs after ``timeout_s``, and logs queries that took ``slow_s`` or more."""
+        context, group, late = self.catalog.spark.sparkContext, str(uuid.uuid4()), threading.Event()
+
+        def cancel() -> None:
+            late.set()
+            context.cancelJobGroup(group)
+
+        timer = threading.Timer(timeout_s, cancel) if timeout_s is not None else None
+        began = time.monotonic()
+        context.setJobGroup(group, text[:200], interruptOnCancel=True)
+        try:
+            if timer:
+                timer.start()
+            yield
+        except Exception as failed:
+            if late.is_set():
+                raise QueryTimeout(timeout_s) from failed
+            raise
+        finally:
+            if timer:
+                timer.cancel()
+            context.setLocalProperty("spark.jobGroup.id", None)
+            if (taken := time.monotonic() - began) >= self.slow_s:
+                log.warning("slow query, %.1f s: %s", taken, text)
+
+    def run(self, text: str, timeout_s: float | None = None) -> tuple[int, list[dict]]:
         """(start in ms, results) with results in SELECT or rank order; meant for results that fit the driver."""
+        with self._limited(text, timeout_s):
+            return self._run(text)
+
+    def _run(self, text: str) -> tuple[int, list[dict]]:
         got = self.prepare(text)
         out: list[tuple[tuple, dict]] = []
         by: dict[tuple, dict] = {}

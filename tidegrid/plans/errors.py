@@ -44,5 +44,10 @@ class UnknownBucket(QueryError):
         super().__init__(f"no bucket or collection '{name}'")
 
 
+class QueryTimeout(QueryError):
+    def __init__(self, seconds: float):
+        super().__init__(f"the query took more than {seconds:g} s")
+
+
 class BadArgument(QueryError):
     pass
