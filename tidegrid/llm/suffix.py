@@ -11,6 +11,9 @@ thus splits its strings into short runs, one for each anchor.
 2. Where an anchor has several different runs, one of each kind enters the index of
    its partition. New batches get a suffix array, are merge-scanned against the
    levels there are, and join them; levels of equal size merge, so there are few.
+   Anchors with very many kinds of runs, as at the edge of a passage that a great
+   part of all texts share, would fill a partition: their strings are dealt by two
+   digests instead, counted, and matched by those.
 3. Repeated strings are joined back to their texts, which lose those bytes.
 """
 
@@ -245,10 +248,11 @@ def _kinds(c: dict, kind: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array(c[f][at]) for f in names), pa.array(kind[at])], names=[*names, "kind"])
 
 
-def repeats(docs: DataFrame, width: int = 200, gram: int = 40, batch: int = 1 << 18, pieces_in_task: int = 8000) -> DataFrame:
+def repeats(docs: DataFrame, width: int = 200, gram: int = 40, batch: int = 1 << 18, pieces_in_task: int = 8000, hot: int = 2000) -> DataFrame:
     """(ida, idb, first, last): places of strings of ``width`` bytes that start elsewhere too.
 
-    ``docs`` has ida, idb (the identity of a row) and text.
+    ``docs`` has ida, idb (the identity of a row) and text. An anchor of more than
+    ``hot`` kinds of runs is hot; no string goes unsearched either way.
     """
     n = partitions(docs)
 
@@ -271,8 +275,12 @@ def repeats(docs: DataFrame, width: int = 200, gram: int = 40, batch: int = 1 <<
     found = settled(runs.repartition(n, "deal").sortWithinPartitions("khash", "rhash").mapInArrow(_classified, _KIND))
     searched = found.where("kind > 1")
     many = searched.count()
-    wanted = searched.groupBy("ida", "idb").agg(F.collect_list(F.struct("khash", "first", "last", "kind")).alias("wanted"))
-    held = docs.select("ida", "idb", "text").join(wanted.hint("shuffle_hash"), ["ida", "idb"])
+    crowded = settled(searched.groupBy("khash").count().where(F.col("count") > hot).select("khash"))
+    some_hot = not crowded.isEmpty()
+
+    def held(asked: DataFrame) -> DataFrame:
+        wanted = asked.groupBy("ida", "idb").agg(F.collect_list(F.struct("khash", "first", "last", "kind")).alias("wanted"))
+        return docs.select("ida", "idb", "text").join(wanted.hint("shuffle_hash"), ["ida", "idb"])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text", SEGMENT):
@@ -282,6 +290,15 @@ def repeats(docs: DataFrame, width: int = 200, gram: int = 40, batch: int = 1 <<
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["khash", "ida", "idb", "first", "kind", "piece"])
 
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, "text", SEGMENT):
+            for ida, idb, text, asked in zip(b.column("ida").to_pylist(), b.column("idb").to_pylist(), b.column("text").cast(pa.large_binary()).to_pylist(), b.column("wanted").to_pylist()):
+                data = np.frombuffer(text, np.uint8)
+                for w in asked:
+                    part = data[w["first"] : w["last"] + width]
+                    n = len(part) - width + 1
+                    yield pa.RecordBatch.from_arrays([*(pa.array(Rolling(part, k).fixed(width).view(np.int64)) for k in (0, 1)), pa.array(np.full(n, ida)), pa.array(np.full(n, idb)), pa.array(np.arange(n, dtype=np.int32) + np.int32(w["first"])), pa.array(np.full(n, w["kind"], np.int32))], names=["one", "two", "ida", "idb", "at", "kind"])
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, taken, waiting, size = Family(width), [], [], 0
 
@@ -308,9 +325,15 @@ def repeats(docs: DataFrame, width: int = 200, gram: int = 40, batch: int = 1 <<
         for k in range(0, len(rows), 10_000):
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows[k : k + 10_000]), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["ida", "idb", "first", "last"])
 
-    dealt = held.mapInArrow(pieces, "khash long, ida long, idb long, first int, kind int, piece binary").repartition(max(n, -(-many // pieces_in_task)), "khash")
+    calm = searched.join(crowded, "khash", "left_anti") if some_hot else searched
+    dealt = held(calm).mapInArrow(pieces, "khash long, ida long, idb long, first int, kind int, piece binary").repartition(max(n, -(-many // pieces_in_task)), "khash")
     parts = dealt.mapInArrow(search, "ida long, idb long, first int, last int")
-    return found.where("kind <> 2").select("ida", "idb", "first", "last").union(parts)
+    out = found.where("kind <> 2").select("ida", "idb", "first", "last").union(parts)
+    if some_hot:
+        each = held(searched.join(crowded, "khash", "left_semi")).mapInArrow(strings, "one long, two long, ida long, idb long, at int, kind int")
+        again = each.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two")
+        out = out.union(each.where("kind = 2").join(again, ["one", "two"]).select("ida", "idb", F.col("at").alias("first"), F.col("at").alias("last")))
+    return out
 
 
 def identified(docs: DataFrame, key: str, text: str) -> DataFrame:
