@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe, common, decontam, langid, queries, simhash, suffix
+from tidegrid.llm import bpe, common, decontam, langid, queries, similar, suffix
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text is rejected as no known language if its score is lower; running text of a learned language has over 0.3.
@@ -26,13 +26,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate group: the one of least doc_id.
 
+    Documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or
+    more are linked, and groups are what links connect.
     A null doc_id comes last. Of rows that share the doc_id the one of least text
     hash stays, and of wholly equal rows one.
     """
     known = docs.select(*COLUMNS, F.xxhash64("doc_id").alias("__a"), F.xxhash64("text").alias("__b"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__a").alias("a"), F.col("__b").alias("b"))
-    grouped = simhash.groups(known.select(place.alias("place"), "text"), "place")
-    kept = grouped.select(F.col("component_id.a").alias("__a"), F.col("component_id.b").alias("__b")).distinct()
+    least = similar.least_of_groups(known.select(place.alias("place"), F.col("__a").alias("row"), "text"))
+    kept = least.select(F.col("place.a").alias("__a"), F.col("place.b").alias("__b"))
     return known.join(kept, ["__a", "__b"], "left_semi").dropDuplicates(["__a", "__b"]).select(*COLUMNS)
 
 
@@ -58,13 +60,13 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language ID", identify_language),
-    ("SimHash near-dedup", drop_near_duplicates),
+    ("near-dedup", drop_near_duplicates),
     ("suffix-array dedup", drop_repeated_passages),
     ("benchmark decontamination", drop_benchmark_leaks),
     ("BPE encoding and decoding", encode),
 ]
 
-#: Fingerprints, suffix arrays and merges are beyond SQL; tests hold the pipeline against a brute-force version.
+#: Shingle sets, suffix arrays and merges are beyond SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
