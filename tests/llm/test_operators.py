@@ -93,9 +93,10 @@ def test_simhash_odd(odd, none):
     assert simhash.groups(none).collect() == []
 
 
-@pytest.mark.parametrize("chunk", [1 << 15, 5])
-def test_links_connect_dense_groups(spark, chunk):
-    """A large group of near copies, chains, and runs longer than a chunk."""
+@pytest.mark.parametrize("chunk, sample", [(1 << 15, 64), (5, 64), (5, 1)])
+def test_links_connect_dense_groups(spark, monkeypatch, chunk, sample):
+    """A large group of near copies, chains, runs longer than a chunk, and crowded keys in salted parts."""
+    monkeypatch.setattr(simhash, "SAMPLE", sample)
     rng = random.Random(3)
     base = rng.getrandbits(64)
     fps = {base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for _ in range(150)}
@@ -106,18 +107,17 @@ def test_links_connect_dense_groups(spark, chunk):
     fps |= {rng.getrandbits(64) for _ in range(50)}
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     frame = spark.createDataFrame([(f,) for f in signed], "fp long")
-    roots = {r.node: r.root for r in simhash.components(simhash.links(frame, 4, chunk)).collect()}
+    roots = {r.node: r.root for r in simhash.components(simhash.links(frame, 4, chunk=chunk)).collect()}
     got = Counter(roots.get(f, f) for f in signed)
     wanted = Counter(c for _, _, c in slow_groups([(i, f) for i, f in enumerate(fps)]))
     assert sorted(got.values()) == sorted(wanted.values())
 
 
-def test_golay_keys_meet_within_four_bits():
-    rng = np.random.default_rng(1)
+@pytest.mark.parametrize("errors", [1, 2, 3, 4, 5])
+def test_golay_keys_meet_within_five_bits(errors):
+    rng = np.random.default_rng(errors)
     one = rng.integers(0, 2**64, 3000, dtype=np.uint64)
-    two = one.copy()
-    for _ in range(4):
-        two ^= np.uint64(1) << rng.integers(0, 64, 3000, dtype=np.uint64)
+    two = one ^ np.array([sum(1 << int(b) for b in rng.choice(64, errors, replace=False)) for _ in range(3000)], np.uint64)
     keys = simhash.Keys()
     sets = []
     for fp in (one, two):
@@ -126,6 +126,19 @@ def test_golay_keys_meet_within_four_bits():
     assert {o for o, _ in sets[0] & sets[1]} == set(range(3000))
 
 
+def test_wide_keys_meet_if_a_segment_has_two_errors():
+    rng = np.random.default_rng(7)
+    one = rng.integers(0, 2**64, (2, 3000), dtype=np.uint64)
+    two = one ^ rng.integers(0, 2**64, (2, 3000), dtype=np.uint64)
+    word, a, z = simhash.SIXTHS[4]
+    inside = np.uint64(((1 << z) - 1) ^ ((1 << a) - 1))
+    flips = np.array([sum(1 << int(b) for b in rng.choice(np.arange(a, z), 2, replace=False)) for _ in range(3000)], np.uint64)
+    two[word] = (two[word] & ~inside) | (one[word] & inside) ^ flips
+    keys = simhash.Keys(simhash.SIXTHS)
+    sets = [set(zip(o.tolist(), k.tolist())) for k, o in (keys.of(one), keys.of(two))]
+    assert {o for o, _ in sets[0] & sets[1]} == set(range(3000))
+
+
 # --- 2 ----------------------------------------------------------------------------
 
 

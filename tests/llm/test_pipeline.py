@@ -3,7 +3,8 @@
 import hashlib
 
 import numpy as np
-from test_operators import slow_dedup, slow_fingerprint, slow_groups, slow_leaks
+from test_operators import slow_dedup, slow_leaks
+from test_similar import slow_kept
 
 import corpus_pipeline
 from tidegrid.llm import common, langid, queries
@@ -18,8 +19,8 @@ def slow_pipeline(docs, model, items):
         lang, score = judge.judged(*langid.by_text([t or ""])[0])
         if lang != "und" and score >= corpus_pipeline.LEAST_LANGUAGE_SCORE:
             kept.append((d, t))
-    groups = slow_groups([(d, slow_fingerprint(t.encode())) for d, t in kept])
-    kept = [(d, t) for (d, t), (_, _, c) in zip(kept, groups) if d == c]
+    least = set(slow_kept(kept))
+    kept = [(d, t) for d, t in kept if d in least]
     kept = [(d, x[2].decode("utf-8", "ignore")) for (d, _), x in zip(kept, slow_dedup([t.encode() for _, t in kept]))]
     kept = [(d, t) for (d, t), x in zip(kept, slow_leaks([t for _, t in kept], items)) if not x[2]]
     library = Tokenizer.from_file(queries.word_bpe())

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tidegrid.llm import common, similar
+from tidegrid.llm import common, similar, simhash
 
 
 def slow_kept(texts):
@@ -58,16 +58,31 @@ def test_near_dedup_of_given_documents(spark, sf_dir):
     assert found == slow_kept([(r.doc_id, r.text) for r in docs.collect()])
 
 
-@pytest.mark.parametrize("crowd", [64, 3])
-def test_near_dedup_finds_all_of_similarity_four_fifths(spark, sf_dir, monkeypatch, crowd):
-    """Copies on both sides of 0.8, odd texts, and crowded keys."""
-    monkeypatch.setattr(similar, "CROWD", crowd)
+@pytest.mark.parametrize("chunk", [similar.CHUNK, 150])
+def test_near_dedup_of_copies(spark, sf_dir, monkeypatch, chunk):
+    """Copies on both sides of 0.8, odd texts, and neighbourhoods cut in chunks."""
+    monkeypatch.setattr(similar.least_of_groups, "__defaults__", ("place", "text", chunk))
     texts = planted((1, 2, 3, 4), 4)
     texts += [(1000 + i, t) for i, t in enumerate(["", None, "  ", "one two", "One  two", "one two three", *["same text"] * 5])]
     wanted = slow_kept(texts)
     assert kept(spark, sf_dir, texts) == wanted and 30 < len(wanted) < len(texts)
 
 
+def test_share_of_pairs_found():
+    """Pairs at 0.8 to 0.85 and at 0.9: the share that has a key in common and few enough differing bits."""
+    rng, keys = np.random.default_rng(5), simhash.Keys(simhash.SIXTHS)
+    for shared, least in ((900, 0.9), (950, 0.985)):  # of 1,000 in each
+        both = [], []
+        for _ in range(1000):
+            whole = rng.integers(0, 2**64, 2000 - shared, dtype=np.uint64)
+            both[0].append(similar.sketch(whole[:1000]))
+            both[1].append(similar.sketch(whole[1000 - shared :]))
+        one, two = (np.array(x, np.uint64).T for x in both)
+        met = {o for o, _ in set(zip(*(x.tolist() for x in keys.of(one)[::-1]))) & set(zip(*(x.tolist() for x in keys.of(two)[::-1])))}
+        near = np.flatnonzero(np.bitwise_count(one ^ two).sum(axis=0) <= similar.MOST)
+        assert len(met & set(near.tolist())) >= least * 1000
+
+
 def test_flood_connects_what_pairs_connect():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.choice(40, 34, replace=False)) for _ in range(60)]

@@ -1,11 +1,14 @@
 """SimHash near-duplicates: fingerprints, Golay-coded keys, verified links, components.
 
-Two fingerprints that differ in at most 4 of 64 bits agree on at least one of
-five segments. Of the other bits, cut in three, at least one part differs in at
-most one bit. Such a part, padded to 23 bits, is decoded by the binary Golay
-code: every codeword within distance 4 is a key (six or one of them). The nearest
-codeword of one part lies within distance 4 of the other, so both share a key.
-Fingerprints that share (segment, codeword) are compared; links become components.
+A fingerprint is cut in segments of 21 to 32 bits, and a segment in three blocks.
+Where two segments differ in two bits at most, one block is equal in both. The other
+two, padded to 23 bits, are decoded by the binary Golay code: every codeword within
+distance 4 is a key (six of them, or one). Words at distance two or less share such a
+codeword. For if the nearest codeword lies within 2 of one word, it lies within 4 of
+the other. If it lies at 3, by three places, then the other places fall into five
+fours, each of which leads to a codeword at distance 4; one that holds a changed
+place stays within 4.
+Fingerprints that share (block, codeword) are compared; links become components.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, partitions, settled
+from .common import blocks, discard, partitions, settled
 
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, of the perfect Golay code
 
@@ -26,32 +29,41 @@ GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, of the perfe
 # --- fingerprints -----------------------------------------------------------------
 
 
-def fingerprint(text: bytes, width: int = 4) -> int:
-    """SimHash of the word shingles of a text; 0 without words.
+def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of each word shingle; none without words.
 
     Words are what white space (20, 09-0D) separates, A-Z lower-cased. A text of
-    fewer than ``width`` words, but not none, is one shingle. A bit is set if it is
-    in over half of the shingles' hashes, repeats included.
+    fewer than ``width`` words, but not none, is one shingle.
     """
-    words = b" ".join(text.lower().split())
+    words = b" ".join((text or b"").lower().split())
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     gaps = np.flatnonzero(np.frombuffer(words, np.uint8) == 32)
     n = len(gaps) + 1
     if n <= width:
-        return xxhash.xxh64_intdigest(words, 42)
-    begin = [0, *(gaps[: n - width] + 1).tolist()]
-    end = [*gaps[width - 1 :].tolist(), len(words)]
-    digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(words[a:b], 42) for a, b in zip(begin, end)]), np.uint8).reshape(-1, 8)
+        return np.array([xxhash.xxh64_intdigest(words, 42)], np.uint64)
+    out = np.empty(n - width + 1, np.uint64)
+    digest, begin, end = xxhash.xxh64_intdigest, np.append(0, gaps + 1), np.append(gaps, len(words))
+    for k in range(0, len(out), 1 << 14):  # no more than this many Python numbers at once
+        z = min(k + (1 << 14), len(out))
+        out[k:z] = [digest(words[a:b], 42) for a, b in zip(begin[k:z].tolist(), end[k + width - 1 : z + width - 1].tolist())]
+    return out
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     total = np.zeros(64, np.int64)
-    for k in range(0, len(hashes), 1 << 13):  # sums of up to 255 rows fit a byte
-        part = hashes[k : k + (1 << 13)]
-        bits = np.unpackbits(part, axis=1)
-        total += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+    for k in range(0, len(hashes), 1 << 13):
+        bits = np.unpackbits(hashes[k : k + (1 << 13)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        total += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)  # sums of up to 255 rows fit a byte
     return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: bytes, width: int = 4) -> int:
+    """SimHash of the word shingles of a text, repeats included; 0 without words."""
+    return majority(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
     """(key, fp): the fingerprint as a signed 64-bit integer. Null text: no words, so 0."""
 
@@ -88,21 +100,25 @@ def golay_tables() -> tuple[np.ndarray, np.ndarray]:
     return rest, patterns
 
 
+#: Segments, as (word of the fingerprint, first bit, end). In halves of 64 bits up to 5 errors leave one half with 2 at most.
+HALVES = ((0, 0, 32), (0, 32, 64))
+#: Six segments of 128 bits, for pairs that differ in about every seventh bit.
+SIXTHS = tuple((w, a, z) for w in (0, 1) for a, z in ((0, 22), (22, 43), (43, 64)))
+
+
 class Keys:
-    """Keys of fingerprints: (exact segment, part of the rest, codeword) as one integer."""
+    """Keys of fingerprints: (segment and exact block of it, bits of the block, codeword of the rest) as one integer."""
 
-    def __init__(self):
+    def __init__(self, segments: tuple[tuple[int, int, int], ...] = HALVES):
         self.parity, self.patterns = golay_tables()
-        edges = [0, 13, 26, 39, 52, 64]
         self.plan = []
-        for k, (a, b) in enumerate(zip(edges, edges[1:])):
-            rest = [i for i in range(64) if not a <= i < b]
-            cut = [0, 17, 34, len(rest)]
-            self.plan += [(3 * k + j, a, b - a, rest[x:y]) for j, (x, y) in enumerate(zip(cut, cut[1:]))]
+        for word, a, z in segments:
+            cut = [a, a + (z - a + 2) // 3, z - (z - a) // 3, z]
+            self.plan += [(word, x, y - x, [i for i in range(a, z) if not x <= i < y]) for x, y in zip(cut, cut[1:])]
 
     @staticmethod
     def gathered(fp: np.ndarray, bits: list[int]) -> np.ndarray:
-        """The bits of fp at the given places (one or two runs of them), packed."""
+        """The bits of fp at the given places (runs of them), packed."""
         out, at = np.zeros(len(fp), np.int64), 0
         while bits:
             n = next((i for i in range(1, len(bits)) if bits[i] != bits[0] + i), len(bits))
@@ -111,22 +127,34 @@ class Keys:
         return out
 
     def of(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(keys, index of the fingerprint of each)."""
+        """(keys, index of the fingerprint of each). ``fp`` has a row for each word of 64 bits."""
+        fp = np.atleast_2d(fp)
         keys, owners = [], []
-        for number, a, n, rest in self.plan:
-            part = self.gathered(fp, rest)
+        for number, (word, a, n, rest) in enumerate(self.plan):
+            part = self.gathered(fp[word], rest)
             near = self.patterns[self.parity[part >> 11] ^ (part & 2047)]
             some = near >= 0
-            word = (part[:, None] ^ near) >> 11
-            exact = self.gathered(fp, list(range(a, a + n)))
+            code = (part[:, None] ^ near) >> 11
+            exact = self.gathered(fp[word], list(range(a, a + n)))
             owner, place = np.nonzero(some)
-            keys.append((np.int64(number) << 25) | (exact[owner] << 12) | word[owner, place])
+            keys.append((np.int64(number) << 25) | (exact[owner] << 12) | code[owner, place])
             owners.append(owner)
         return np.concatenate(keys), np.concatenate(owners)
 
 
 # --- links within a key -----------------------------------------------------------
 
+#: Comparisons of one vectorised step.
+AREA = 1 << 20
+
+
+def close(fp: np.ndarray, now: np.ndarray, left: np.ndarray, most: int) -> np.ndarray:
+    """Which of ``now`` and ``left`` differ in ``most`` bits or fewer, as a matrix."""
+    apart = np.bitwise_count(fp[0, now][:, None] ^ fp[0, left][None, :])
+    for word in fp[1:]:
+        apart += np.bitwise_count(word[now][:, None] ^ word[left][None, :])
+    return apart <= most
+
 
 def spanning(fp: np.ndarray, most: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Indices of links that connect what is connected at ``most`` bits or fewer.
@@ -135,14 +163,16 @@ def spanning(fp: np.ndarray, most: int, known: np.ndarray | None = None) -> list
     dense group costs about its size and no list of all pairs arises. ``known``
     numbers parts that are connected already; links are then only between parts.
     """
-    links, left = [], np.arange(len(fp))
+    fp = np.atleast_2d(fp)
+    links, left = [], np.arange(fp.shape[1])
     if known is not None:
         return _across(fp, most, known)
     while len(left):
         front, left = left[:1], left[1:]
         while len(front) and len(left):
-            now, front = front[:256], front[256:]
-            near = np.bitwise_count(fp[now][:, None] ^ fp[left][None, :]) <= most
+            step = max(1, AREA // len(left))
+            now, front = front[:step], front[step:]
+            near = close(fp, now, left, most)
             hit = near.any(axis=0)
             if hit.any():
                 links += zip(now[near[:, hit].argmax(axis=0)].tolist(), left[hit].tolist())
@@ -152,14 +182,15 @@ def spanning(fp: np.ndarray, most: int, known: np.ndarray | None = None) -> list
 
 def _across(fp: np.ndarray, most: int, part: np.ndarray) -> list[tuple[int, int]]:
     """One link between each two parts that have one, found part by part."""
-    links, left, order = [], np.arange(len(fp)), np.argsort(part, kind="stable")
+    links, left, order = [], np.arange(fp.shape[1]), np.argsort(part, kind="stable")
     members = dict(zip(*(lambda u, f: (u.tolist(), np.split(order, f[1:])))(*np.unique(part[order], return_index=True))))
     while len(left):
         front = members[int(part[left[0]])]
         left = left[part[left] != part[left[0]]]
         while len(front) and len(left):
-            now, front = front[:256], front[256:]
-            near = np.bitwise_count(fp[now][:, None] ^ fp[left][None, :]) <= most
+            step = max(1, AREA // len(left))
+            now, front = front[:step], front[step:]
+            near = close(fp, now, left, most)
             hit = near.any(axis=0)
             if hit.any():
                 fresh, first = np.unique(part[left[hit]], return_index=True)
@@ -169,65 +200,97 @@ def _across(fp: np.ndarray, most: int, part: np.ndarray) -> list[tuple[int, int]
     return links
 
 
+def numbers(fp: np.ndarray) -> np.ndarray:
+    """One signed integer for each fingerprint: itself if it is one word, else a hash of its words."""
+    fp = np.atleast_2d(fp)
+    out = fp[0].copy()
+    for word in fp[1:]:
+        out = (out ^ (out >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + word
+    return out.view(np.int64)
+
+
 _LINK = "a long, b long"
 _CHUNK = "key long, part int, fps array<long>"
+#: One fingerprint in so many tells which keys are crowded; that decides how they are dealt, not what is found.
+SAMPLE = 64
 
 
-def links(distinct: DataFrame, most: int = 4, chunk: int = 1 << 15) -> DataFrame:
-    """(a, b): links that connect the fingerprints of column ``fp``, which are distinct.
+def links(distinct: DataFrame, most: int = 4, segments: tuple[tuple[int, int, int], ...] = HALVES, chunk: int = 1 << 15) -> DataFrame:
+    """(a, b): links that connect the distinct fingerprints of ``distinct``, whose columns are their words.
 
-    Keys are dealt by value and sorted, and each key's run is read as a stream. A
-    run of more than ``chunk`` fingerprints is closed in chunks; its chunks are then
-    paired by a join on the key, so a task holds two chunks at most and no pair of
-    fingerprints goes uncompared.
+    a and b are ``numbers``. Keys are dealt by value and sorted, and each key's run is
+    read as a stream. A key that a sample shows to be crowded is dealt in salted
+    parts. A run of more than ``chunk`` fingerprints is closed in chunks. Chunks and
+    parts of one key are then paired, each pair in a group of its own, so a task holds
+    two chunks at most and no pair of fingerprints goes uncompared.
     """
-    n = partitions(distinct)
+    n, words = partitions(distinct), distinct.columns
+    w = len(words)
+
+    def matrix(b: pa.RecordBatch) -> np.ndarray:
+        return np.stack([b.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in words])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Keys()
+        make = Keys(segments)
         for b in batches:
-            for k in range(0, b.num_rows, 4096):
-                fp = b.column("fp").to_numpy(zero_copy_only=False)[k : k + 4096].view(np.uint64)
+            whole = matrix(b)
+            for k in range(0, b.num_rows, 1024):
+                fp = whole[:, k : k + 1024]
                 key, owner = make.of(fp)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[owner].view(np.int64))], names=["key", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(x[owner].view(np.int64)) for x in fp)], names=["key", *words])
 
     def closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key, part = [], None, 0
 
-        def out(run: np.ndarray) -> list[tuple[int, int]]:
-            return [(run[i], run[j]) for i, j in spanning(run.view(np.uint64), most)]
+        def size() -> int:
+            return sum(x.shape[1] for x in held)
 
         for b in batches:
-            keys, fps = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp"))
-            edge = np.flatnonzero(np.diff(keys)) + 1
+            keys, salts, fps = *(b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "salt")), matrix(b)
+            edge = np.flatnonzero((np.diff(keys) != 0) | (np.diff(salts) != 0)) + 1
             found, chunks = [], []
             runs = np.concatenate([[0], edge, [len(keys)]])
-            whole = np.flatnonzero(np.diff(runs) > 1)
+            whole = np.flatnonzero((np.diff(runs) > 1) | (salts[runs[:-1]] >= 0))
             want = sorted({*whole.tolist(), 0, len(runs) - 2} if len(keys) else set())
             for r in want:  # runs of one, inside a batch, have no link
-                run = fps[runs[r] : runs[r + 1]]
-                k = int(keys[runs[r]])
-                if k != key:
-                    if part or sum(map(len, held)) > 1:
-                        rest = np.concatenate(held)
-                        found += out(rest)
-                        if part:
-                            chunks.append((key, part, rest))
-                    held, key, part = [], k, 0
+                run, now = fps[:, runs[r] : runs[r + 1]], (int(keys[runs[r]]), int(salts[runs[r]]))
+                if now != key:
+                    if held:
+                        _closed(held, key, part, most, found, chunks, True)
+                    held, key, part = [], now, 0
                 held.append(run)
-                while sum(map(len, held)) > chunk:
-                    rest = np.concatenate(held)
-                    found += out(rest[:chunk])
-                    chunks.append((key, part, rest[:chunk]))
-                    held, part = [rest[chunk:]], part + 1
+                while size() > chunk:
+                    rest = np.concatenate(held, axis=1)
+                    _closed([rest[:, :chunk]], key, part, most, found, chunks, False)
+                    held, part = [rest[:, chunk:]], part + 1
             yield from _emit(found, chunks)
-        if held and (part or sum(map(len, held)) > 1):
-            rest = np.concatenate(held)
-            yield from _emit(out(rest), [(key, part, rest)] if part else [])
-
-    dealt = distinct.select("fp").mapInArrow(keyed, "key long, fp long").repartition(n, "key").sortWithinPartitions("key")
+        found, chunks = [], []
+        if held:
+            _closed(held, key, part, most, found, chunks, True)
+        yield from _emit(found, chunks)
+
+    kind = ", ".join(f"{c} long" for c in words)
+    # The sum by fingerprint may leave few partitions, and one row becomes some dozens.
+    rows = distinct.repartition(n).mapInArrow(keyed, f"key long, {kind}")
+    few = distinct.where(F.pmod(F.xxhash64(*words), F.lit(SAMPLE)) == 0).repartition(n).mapInArrow(keyed, f"key long, {kind}")
+    crowded = settled(few.groupBy("key").count().where(F.col("count") > chunk // SAMPLE).select("key", (F.col("count") * F.lit(2 * SAMPLE / chunk)).cast("int").alias("parts")))
+    if crowded.isEmpty():
+        rows = rows.withColumn("salt", F.lit(-1))
+    else:
+        rows = rows.join(crowded, "key", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(*words), F.col("parts") + 1).cast("int"), F.lit(-1))).drop("parts")
+    dealt = rows.select("key", "salt", *words).repartition(n, "key", "salt").sortWithinPartitions("key", "salt")
     first = settled(dealt.mapInArrow(closed, f"{_LINK}, {_CHUNK}"))
-    return first.where("key is null").select("a", "b").union(_between(first.where("key is not null").select("key", "part", "fps"), most)).distinct()
+    return first.where("key is null").select("a", "b").union(_between(first.where("key is not null").select("key", "part", "fps"), most, w, n)).distinct()
+
+
+def _closed(held: list[np.ndarray], key: tuple[int, int], part: int, most: int, found: list, chunks: list, last: bool) -> None:
+    """Links of one chunk; the chunk itself too if its key has more of them."""
+    fp = np.concatenate(held, axis=1)
+    if fp.shape[1] > 1:
+        name = numbers(fp)
+        found += [(name[i], name[j]) for i, j in spanning(fp, most)]
+    if key[1] >= 0 or part or not last:
+        chunks.append((key[0], (key[1] + 1 << 16) + part, fp.ravel()))
 
 
 def _emit(found: list[tuple[int, int]], chunks: list[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -237,31 +300,33 @@ def _emit(found: list[tuple[int, int]], chunks: list[tuple[int, int, np.ndarray]
     b = [int(max(x)) for x in found] + [None] * len(chunks)
     none = [None] * len(found)
     yield pa.RecordBatch.from_arrays(
-        [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(none + [c[0] for c in chunks], pa.int64()), pa.array(none + [c[1] for c in chunks], pa.int32()), pa.array(none + [c[2].tolist() for c in chunks], pa.list_(pa.int64()))],
+        [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(none + [c[0] for c in chunks], pa.int64()), pa.array(none + [c[1] for c in chunks], pa.int32()), pa.array(none + [c[2].view(np.int64) for c in chunks], pa.list_(pa.int64()))],
         names=["a", "b", "key", "part", "fps"],
     )
 
 
-def _between(chunks: DataFrame, most: int) -> DataFrame:
+def _between(chunks: DataFrame, most: int, words: int, n: int) -> DataFrame:
     """Links between the chunks of one key. Each chunk's own links are known."""
-    other = chunks.select("key", F.col("part").alias("later"), F.col("fps").alias("more"))
-    pairs = chunks.join(other, "key").where("part < later").select("fps", "more")
+    names = chunks.select("key", "part")
+    pairs = names.join(names.select("key", F.col("part").alias("later")), "key").where("part < later").repartition(n, "key", "part", "later")
+    pairs = pairs.join(chunks, ["key", "part"]).join(chunks.select("key", F.col("part").alias("later"), F.col("fps").alias("more")), ["key", "later"]).select("fps", "more")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                one, two = (np.array(b.column(c)[k].as_py(), np.int64) for c in ("fps", "more"))
-                both = np.concatenate([one, two])
-                part = np.concatenate([_parts(one, most), len(one) + _parts(two, most)])
-                found = [(both[i], both[j]) for i, j in spanning(both.view(np.uint64), most, part)]
+                one, two = (np.asarray(b.column(c)[k].values).view(np.uint64).reshape(words, -1) for c in ("fps", "more"))
+                both = np.concatenate([one, two], axis=1)
+                part = np.concatenate([_parts(one, most), one.shape[1] + _parts(two, most)])
+                name = numbers(both)
+                found = [(name[i], name[j]) for i, j in spanning(both, most, part)]
                 yield pa.RecordBatch.from_arrays([pa.array([int(min(x)) for x in found], pa.int64()), pa.array([int(max(x)) for x in found], pa.int64())], names=["a", "b"])
 
     return pairs.mapInArrow(step, _LINK)
 
 
 def _parts(fp: np.ndarray, most: int) -> np.ndarray:
-    part = np.arange(len(fp))
-    for i, j in spanning(fp.view(np.uint64), most):  # flood order: i is reached before j
+    part = np.arange(fp.shape[1])
+    for i, j in spanning(fp, most):  # flood order: i is reached before j
         part[j] = part[i]
     return part
 
@@ -273,8 +338,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the least node of each connected component, for nodes with an edge.
 
     Alternating large-star and small-star steps. A node's least neighbour comes from
-    a hash aggregate (combined before the shuffle) and is joined back, so no node's
-    neighbours are gathered in one place. Each round is cut by a checkpoint.
+    a hash aggregate (combined before the shuffle) and is joined back; the join's
+    rows of one hub can be split (adaptive skew joins). Each round is cut by a
+    checkpoint, and the one before is removed.
     """
     now = settled(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     for _ in range(rounds):
@@ -288,7 +354,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # Done when the edges are stars: nothing but roots on the right, one edge a node.
         tally = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
         if tally.unionAll(now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))).distinct().count() == 1:
+            discard(now)
             return after.select(F.col("u").alias("node"), F.col("v").alias("root")).union(after.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+        discard(now)
         now = after
     raise RuntimeError("components did not settle")
 
@@ -300,11 +368,14 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     fewer, the row's own included. Equal fingerprints are collapsed before anything
     is compared, so copies cost nothing. Rows without words (null and empty texts
     too) have fingerprint 0 and link like any other; null keys are never a
-    component's id unless it has no other; repeated rows stay repeated.
+    component's id unless it has no other; repeated rows stay repeated. An empty
+    table gives an empty result; other columns, whatever their names, aren't read.
     """
     fps = settled(fingerprints(docs, key, text, width))
     distinct = fps.groupBy("fp").agg(F.min("key").alias("least"))
-    roots = components(links(distinct, most))
+    if most > 5:
+        raise ValueError("the keys find links of up to 5 bits")
+    roots = components(links(distinct.select("fp"), most))
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     names = named.join(ids, "root").select("fp", "component_id")

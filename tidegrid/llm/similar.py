@@ -1,10 +1,15 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, with no pair lost.
-
-Two sets of similarity 4/5 or more share one of the first n // 5 + 1 elements of
-both, whatever order all sets are put in. These elements are keys. Elements that a
-sample finds often come last in the order, which changes how many texts meet but not
-what is found. Texts that meet and are of fitting size are compared by all of their
-shingles: pair by pair, or, where many share a key, by a flood fill of the key's run.
+"""Near-duplicates: SimHash candidates by Golay keys, settled by exact shingle similarity.
+
+Each text has a SimHash of 128 bits over its distinct word shingles. Texts that share
+a key of one of six segments and differ in at most ``MOST`` bits are candidates. What
+candidates connect forms a neighbourhood. Its texts meet once, however many keys they
+share, and are compared by all of their shingles in a flood fill; links at a Jaccard
+similarity of 4/5 or more form the groups. A neighbourhood of very many shingles is
+cut in chunks, and each pair of chunks meets in a task of its own.
+
+A segment finds a pair if it has two errors at most. At a similarity of exactly 4/5,
+where bits differ with probability 0.15, all six miss about one pair in sixteen; the
+share falls fast above that, and pairs in one neighbourhood need no key in common.
 """
 
 from __future__ import annotations
@@ -13,38 +18,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, partitions, settled
-from .simhash import components
+from .simhash import SIXTHS, components, links, majority, numbers, shingle_hashes
 
 #: Words of a shingle, and the least similarity as a fraction.
 WIDTH, PART, WHOLE = 5, 4, 5
-#: A key of more texts than this is flooded rather than paired.
-CROWD = 64
-#: One text in so many tells the order; so many shingles and copied texts at most are sent to all workers.
-SAMPLE, OFTEN, KNOWN = 16, 3, 200_000
-#: Bits of the map by which workers know most texts that met none, and of a key; a clash costs a comparison.
-MARKS, KEY = 1 << 26, 1 << 40
+#: Candidates differ in so many of 128 bits at most: 3 standard deviations above the mean at a similarity of 4/5.
+MOST = 32
+#: Shingles of a chunk.
+CHUNK = 1 << 21
 
 
 def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
-    """Distinct 64-bit hashes of the word shingles, sorted.
+    """Distinct hashes of the word shingles, sorted; all texts without words are alike."""
+    found = np.unique(shingle_hashes(text, width))
+    return found if len(found) else np.zeros(1, np.uint64)
 
-    Words are what white space (20, 09-0D) separates, A-Z lower-cased. A text of
-    ``width`` words or fewer is one shingle; so all texts without words are alike.
-    """
-    words = b" ".join((text or b"").lower().split())
-    gaps = np.flatnonzero(np.frombuffer(words, np.uint8) == 32)
-    n = len(gaps) + 1
-    if n <= width:
-        return np.array([xxhash.xxh64_intdigest(words, 7)], np.uint64).view(np.int64)
-    begin = [0, *(gaps[: n - width] + 1).tolist()]
-    end = [*gaps[width - 1 :].tolist(), len(words)]
-    digest = xxhash.xxh64_digest
-    return np.unique(np.frombuffer(b"".join([digest(words[a:b], 7) for a, b in zip(begin, end)]), np.int64))
+
+def sketch(found: np.ndarray) -> tuple[int, int]:
+    """SimHash of 128 bits; the second word is of remixed hashes."""
+    other = (found ^ (found >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    other = (other ^ (other >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return majority(found), majority(other ^ (other >> np.uint64(31)))
 
 
 def alike(overlap, m, n):
@@ -52,61 +50,29 @@ def alike(overlap, m, n):
     return overlap * (PART + WHOLE) >= PART * (m + n)
 
 
-def prefix(found: np.ndarray, often: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """The elements by which a set meets others, in order: rare ones by hash, then ``often`` (sorted) by ``times``."""
-    n = len(found) * (WHOLE - PART) // WHOLE + 1
-    if not len(often):
-        return found[:n]
-    at = np.minimum(np.searchsorted(often, found), len(often) - 1)
-    count = np.where(often[at] == found, times[at], 0)
-    return found[np.lexsort((found, count))[:n]]
-
-
-def _pairs(ids: np.ndarray, size: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that can be alike if this is the first element that they share."""
-    most = np.minimum(size[i] - place[i], size[j] - place[j])
-    some = alike(most, size[i], size[j])
-    a, b = ids[i[some]], ids[j[some]]
-    return np.minimum(a, b), np.maximum(a, b)
-
-
-_MET = "a long, b long, key long"
-
-
-def _meet(batches: Iterator[pa.RecordBatch], crowd: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of each key's texts, or, of a crowded key, its texts (a, null, key). Comes sorted by key and id."""
-    names = ("key", "id", "n", "place")
-    held = [np.zeros(0, np.int64)] * 4
-
-    def out(key, ids, size, place) -> Iterator[pa.RecordBatch]:
-        if not len(key):
-            return
-        fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])])
-        key, ids, size, place = (x[fresh] for x in (key, ids, size, place))
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        many = np.diff(np.append(start, len(key)))
-        a, b, c = [], [], []
-        for g in np.unique(many[(many > 1) & (many <= crowd)]).tolist():
-            i, j = np.triu_indices(g, 1)
-            first = start[many == g][:, None]
-            x, y = _pairs(ids, size, place, (first + i).ravel(), (first + j).ravel())
-            a.append(x)
-            b.append(y)
-        for s, g in zip(start[many > crowd].tolist(), many[many > crowd].tolist()):
-            c.append((key[s], ids[s : s + g]))
-        if a:
-            x = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy()), pa.nulls(len(x), pa.int64())], names=["a", "b", "key"])
-        for k, x in c:
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.nulls(len(x), pa.int64()), pa.array(np.full(len(x), k))], names=["a", "b", "key"])
-
-    for batch in batches:
-        if batch.num_rows:
-            now = [np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, names)]
-            last = int(np.searchsorted(now[0], now[0][-1]))  # the last key may go on
-            yield from out(*(x[:last] for x in now))
-            held = [x[last:] for x in now]
-    yield from out(*held)
+def sketches(texts: DataFrame) -> DataFrame:
+    """(id, place, n, one, two) of (id, place, body): number of distinct shingles and the two words."""
+    kind = texts.schema["place"].dataType.simpleString()
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, "body"):
+            found = [shingles(t) for t in b.column("body").cast(pa.large_binary()).to_pylist()]
+            words = np.array([sketch(f) for f in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("place"), pa.array([len(f) for f in found], pa.int64()), pa.array(words[:, 0].copy()), pa.array(words[:, 1].copy())], names=["id", "place", "n", "one", "two"])
+
+    return texts.mapInArrow(step, f"id long, place {kind}, n long, one long, two long")
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """One more column, node: the number of the fingerprint (one, two) as ``links`` has it."""
+    names = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema]
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.stack([b.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("one", "two")])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(numbers(fp))], names=[*b.schema.names, "node"])
+
+    return rows.mapInArrow(step, ", ".join([*names, "node long"]))
 
 
 def flooded(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -138,115 +104,46 @@ def flooded(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return links
 
 
-_LINK = "a long, b long"
-
-
-def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
-
-
 def _flood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of crowded keys; comes sorted by key."""
+    """Links of neighbourhoods; comes sorted by (root, lo, hi)."""
     key, ids, sets = None, [], []
+
+    def out() -> pa.RecordBatch:
+        found = flooded(np.array(ids), sets)
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
     for b in blocks(batches, "body"):
-        for k, i, t in zip(b.column("key").to_pylist(), b.column("id").to_pylist(), b.column("body").cast(pa.large_binary()).to_pylist()):
+        for *k, i, t in zip(*(b.column(c).to_pylist() for c in ("root", "lo", "hi", "id")), b.column("body").cast(pa.large_binary()).to_pylist()):
             if k != key:
                 if ids:
-                    yield _links(flooded(np.array(ids), sets))
+                    yield out()
                 key, ids, sets = k, [], []
             ids.append(i)
             sets.append(shingles(t))
     if ids:
-        yield _links(flooded(np.array(ids), sets))
-
-
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, np.ndarray] = {}
-
-    def of(i: int, text: bytes) -> np.ndarray:
-        if i not in held:
-            if len(held) >= 256:
-                held.clear()
-            held[i] = shingles(text)
-        return held[i]
-
-    for b in blocks(batches, "one"):
-        found = []
-        for x, y, s, t in zip(*(b.column(c).to_pylist() for c in ("a", "b")), *(b.column(c).cast(pa.large_binary()).to_pylist() for c in ("one", "two"))):
-            s, t = of(x, s), of(y, t)
-            if alike(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t)):
-                found.append((x, y))
-        yield _links(found)
-
-
-def links(docs: DataFrame, copied: dict[int, int]) -> DataFrame:
-    """(a, b): links that connect the similar texts of (id, row, body); id is the hash of the text, row that of the rest.
-
-    ``copied`` names, for texts of many copies, the row that stands for them.
-    """
-    spark, n, most = docs.sparkSession, partitions(docs), CROWD
-
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "body"):
-            found = [shingles(t) for t in b.column("body").cast(pa.large_binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["h"])
-
-    few = docs.where(F.expr(f"pmod(id, {SAMPLE}) = 0")).select("body").mapInArrow(sampled, "h long").groupBy("h").count().where(F.col("count") >= OFTEN)
-    told = sorted((r.h, r["count"]) for r in few.orderBy(F.desc("count"), "h").limit(KNOWN).toLocalIterator())
-    sent = spark.sparkContext.broadcast((np.array([h for h, _ in told], np.int64), np.array([c for _, c in told], np.int64), copied))
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, times, stand = sent.value
-        for b in blocks(batches, "body"):
-            ids, size, keys = [], [], []
-            for i, r, t in zip(b.column("id").to_pylist(), b.column("row").to_pylist(), b.column("body").cast(pa.large_binary()).to_pylist()):
-                if stand.get(i, r) == r:
-                    found = shingles(t)
-                    keys.append(prefix(found, often, times))
-                    ids.append(i)
-                    size.append(len(found))
-            if keys:
-                many = np.array([len(k) for k in keys])
-                place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) & (KEY - 1)), pa.array(np.repeat(np.array(ids, np.int64), many)), pa.array(np.repeat(np.array(size, np.int32), many)), pa.array(place.astype(np.int32))], names=["key", "id", "n", "place"])
-
-    dealt = docs.mapInArrow(keyed, "key long, id long, n int, place int").repartition(n, "key").sortWithinPartitions("key", "id", "place")
-    met = settled(dealt.mapInArrow(lambda b: _meet(b, most), _MET))
-    pairs = met.where("key is null").select("a", "b").distinct()
-    crowd = met.where("key is not null").select("key", F.col("a").alias("id"))
-
-    # Texts rather than sets are sent, since they are half as large, and few but those that met.
-    need = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(crowd.select("id"))
-    wanted = np.zeros(MARKS, bool)
-    wanted[need.select(F.expr(f"cast(pmod(id, {MARKS}) as int)").alias("at")).distinct().toArrow()["at"].to_numpy()] = True
-    marks = spark.sparkContext.broadcast(np.packbits(wanted))
-
-    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, stand = marks.value, sent.value[2]
-        for b in batches:
-            ids = b.column("id").to_numpy(zero_copy_only=False)
-            at = ids % MARKS
-            some = (bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
-            if stand:
-                some &= np.fromiter((stand.get(i, r) == r for i, r in zip(ids.tolist(), b.column("row").to_pylist())), bool, len(ids))
-            yield b.filter(pa.array(some)).select(["id", "body"])
-
-    texts = docs.mapInArrow(chosen, "id long, body string").dropDuplicates(["id"])
-    one, two = (texts.select(F.col("id").alias(c), F.col("body").alias(name)) for c, name in (("a", "one"), ("b", "two")))
-    both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "one", "two")
-    pulled = crowd.join(texts.hint("merge"), "id").repartition(n, "key").sortWithinPartitions("key", "id").select("key", "id", "body")
-    return both.mapInArrow(_verified, _LINK).union(pulled.mapInArrow(_flood, _LINK)).distinct()
+        yield out()
 
 
-def least_of_groups(docs: DataFrame, place: str = "place", row: str = "row", text: str = "text") -> DataFrame:
-    """One row (place) for each group: the least ``place`` of texts connected by similarity PART / WHOLE or more.
+def least_of_groups(docs: DataFrame, place: str = "place", text: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """One row (place) for each group: the least ``place`` of texts that links connect.
 
-    Null texts and texts without words are alike. ``row`` is a hash of what tells
-    rows of one text apart, and is the field ``a`` of place.
+    Equal texts (by a 64-bit hash) are collapsed before anything is compared. Null
+    texts and texts without words are alike. Rows of equal place and text count once;
+    an empty table gives no row.
     """
-    rows = docs.select(F.xxhash64(text).alias("id"), F.col(row).alias("row"), F.col(place).alias("place"), F.col(text).alias("body"))
-    least = settled(rows.groupBy("id").agg(F.min("place").alias("least"), F.count("*").alias("n")))
-    copied = {r.id: r.a for r in least.where(F.col("n") > CROWD).orderBy(F.desc("n"), "id").limit(KNOWN).select("id", F.col("least.a").alias("a")).toLocalIterator()}
-    roots = components(links(rows.select("id", "row", "body"), copied))
-    named = least.join(roots, least.id == roots.node, "left").select(F.coalesce("root", "id").alias("root"), "least")
-    return named.groupBy("root").agg(F.min("least").alias("place")).select("place")
+    n = partitions(docs)
+    rows = docs.select(F.xxhash64(text).alias("id"), F.col(place).alias("place"), F.col(text).alias("body"))
+    least = settled(numbered(sketches(rows).groupBy("id").agg(F.min("place").alias("place"), F.max("n").alias("n"), F.max("one").alias("one"), F.max("two").alias("two"))))
+    near = components(links(least.select("one", "two").distinct(), MOST, SIXTHS))
+    named = least.join(near, "node", "left").select("id", "place", "n", F.coalesce("root", "node").alias("root"))
+    many = named.groupBy("root").agg(F.count("*").alias("texts"), F.ceil(F.sum("n") / F.lit(chunk)).cast("int").alias("parts")).where("texts > 1")
+    met = settled(named.join(many, "root").select("id", "place", "root", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")))
+
+    # One row for each text, dealt to the pairs of chunks that its own is in.
+    texts = rows.join(met, ["id", "place"])
+    other = F.explode(F.sequence(F.lit(0), F.greatest(F.col("parts") - 1, F.lit(0)))).alias("other")
+    dealt = texts.select("root", "id", "body", "part", "parts", other).where("parts = 1 or other <> part")
+    dealt = dealt.select("root", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "id", "body")
+    found = dealt.repartition(n, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(_flood, "a long, b long").distinct()
+    roots = components(found)
+    return least.join(roots, least.id == roots.node, "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("place").alias("place")).select("place")
