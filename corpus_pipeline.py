@@ -26,16 +26,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate group: the one of least doc_id.
 
-    Documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or
-    more are linked, and groups are what links connect.
-    A null doc_id comes last. Of rows that share the doc_id the one of least text
-    hash stays, and of wholly equal rows one.
+    SimHash candidates by Golay keys are settled by the Jaccard similarity of five-word
+    shingles, 0.8 or more; groups are what links connect. A null doc_id comes last.
+    Of a group's rows that share the least doc_id the one of least hash of all columns
+    stays; of wholly equal rows one stays. Null and empty texts are alike. An empty table gives none; columns besides those of documents go.
     """
-    known = docs.select(*COLUMNS, F.xxhash64("doc_id").alias("__a"), F.xxhash64("text").alias("__b"))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__a").alias("a"), F.col("__b").alias("b"))
-    least = similar.least_of_groups(known.select(place.alias("place"), F.col("__a").alias("row"), "text"))
-    kept = least.select(F.col("place.a").alias("__a"), F.col("place.b").alias("__b"))
-    return known.join(kept, ["__a", "__b"], "left_semi").dropDuplicates(["__a", "__b"]).select(*COLUMNS)
+    known = docs.select(*COLUMNS)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*COLUMNS).alias("row"))
+    kept = similar.least_of_groups(known.select(place.alias("place"), "text")).select(F.xxhash64("place").alias("__place"))
+    return known.withColumn("__place", F.xxhash64(place)).join(kept, "__place", "left_semi").dropDuplicates(["__place"]).select(*COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
