@@ -43,10 +43,10 @@ def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
     if n <= width:
         return np.array([xxhash.xxh64_intdigest(words, 42)], np.uint64)
     out = np.empty(n - width + 1, np.uint64)
-    digest, begin, end = xxhash.xxh64_intdigest, np.append(0, gaps + 1), np.append(gaps, len(words))
-    for k in range(0, len(out), 1 << 14):  # no more than this many Python numbers at once
+    digest, begin, end = xxhash.xxh64_digest, np.append(0, gaps + 1), np.append(gaps, len(words))
+    for k in range(0, len(out), 1 << 14):  # no more than this many Python objects at once
         z = min(k + (1 << 14), len(out))
-        out[k:z] = [digest(words[a:b], 42) for a, b in zip(begin[k:z].tolist(), end[k + width - 1 : z + width - 1].tolist())]
+        out[k:z] = np.frombuffer(b"".join([digest(words[a:b], 42) for a, b in zip(begin[k:z].tolist(), end[k + width - 1 : z + width - 1].tolist())]), ">u8")
     return out
 
 
@@ -211,6 +211,8 @@ def numbers(fp: np.ndarray) -> np.ndarray:
 
 _LINK = "a long, b long"
 _CHUNK = "key long, part int, fps array<long>"
+#: Runs of so many are compared many runs at a time.
+SMALL = 16
 #: One fingerprint in so many tells which keys are crowded; that decides how they are dealt, not what is found.
 SAMPLE = 64
 
@@ -247,12 +249,14 @@ def links(distinct: DataFrame, most: int = 4, segments: tuple[tuple[int, int, in
 
         for b in batches:
             keys, salts, fps = *(b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "salt")), matrix(b)
+            if not len(keys):
+                continue
             edge = np.flatnonzero((np.diff(keys) != 0) | (np.diff(salts) != 0)) + 1
-            found, chunks = [], []
             runs = np.concatenate([[0], edge, [len(keys)]])
-            whole = np.flatnonzero((np.diff(runs) > 1) | (salts[runs[:-1]] >= 0))
-            want = sorted({*whole.tolist(), 0, len(runs) - 2} if len(keys) else set())
-            for r in want:  # runs of one, inside a batch, have no link
+            many, calm = np.diff(runs), salts[runs[:-1]] < 0
+            calm[[0, -1]] = False  # these may go on in another batch
+            found, chunks = _small(fps, runs[:-1], np.where(calm, many, 0), most), []
+            for r in np.flatnonzero(~calm | (many > SMALL)).tolist():
                 run, now = fps[:, runs[r] : runs[r + 1]], (int(keys[runs[r]]), int(salts[runs[r]]))
                 if now != key:
                     if held:
@@ -283,26 +287,44 @@ def links(distinct: DataFrame, most: int = 4, segments: tuple[tuple[int, int, in
     return first.where("key is null").select("a", "b").union(_between(first.where("key is not null").select("key", "part", "fps"), most, w, n)).distinct()
 
 
+def _small(fp: np.ndarray, start: np.ndarray, many: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links within runs of 2 to SMALL fingerprints: all there are, or, if all are linked, those of the first."""
+    found, name = [], numbers(fp)
+    for g in np.unique(many[(many > 1) & (many <= SMALL)]).tolist():
+        i, j = np.triu_indices(g, 1)
+        first = start[many == g][:, None]
+        apart = np.zeros((len(first), len(i)), np.uint8)
+        for word in fp:
+            apart += np.bitwise_count(word[first + i] ^ word[first + j])
+        near = apart <= most
+        near[near.all(axis=1)] = i == 0
+        row, pair = np.nonzero(near)
+        found.append((name[first[row, 0] + i[pair]], name[first[row, 0] + j[pair]]))
+    return found
+
+
 def _closed(held: list[np.ndarray], key: tuple[int, int], part: int, most: int, found: list, chunks: list, last: bool) -> None:
     """Links of one chunk; the chunk itself too if its key has more of them."""
     fp = np.concatenate(held, axis=1)
     if fp.shape[1] > 1:
-        name = numbers(fp)
-        found += [(name[i], name[j]) for i, j in spanning(fp, most)]
+        name, linked = numbers(fp), spanning(fp, most)
+        if linked:
+            i, j = np.array(linked).T
+            found.append((name[i], name[j]))
     if key[1] >= 0 or part or not last:
         chunks.append((key[0], (key[1] + 1 << 16) + part, fp.ravel()))
 
 
-def _emit(found: list[tuple[int, int]], chunks: list[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    if not found and not chunks:
-        return
-    a = [int(min(x)) for x in found] + [None] * len(chunks)
-    b = [int(max(x)) for x in found] + [None] * len(chunks)
-    none = [None] * len(found)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(none + [c[0] for c in chunks], pa.int64()), pa.array(none + [c[1] for c in chunks], pa.int32()), pa.array(none + [c[2].view(np.int64) for c in chunks], pa.list_(pa.int64()))],
-        names=["a", "b", "key", "part", "fps"],
-    )
+def _emit(found: list[tuple[np.ndarray, np.ndarray]], chunks: list[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Links without repeats, then chunks."""
+    names = ["a", "b", "key", "part", "fps"]
+    one, two = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+    if len(one):
+        pairs = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1), axis=0)
+        n = len(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int64()))], names=names)
+    for key, part, fps in chunks:
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([key], pa.int64()), pa.array([part], pa.int32()), pa.array([fps.view(np.int64)], pa.list_(pa.int64()))], names=names)
 
 
 def _between(chunks: DataFrame, most: int, words: int, n: int) -> DataFrame:
