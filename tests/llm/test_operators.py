@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -373,7 +374,7 @@ def test_leaks_odd(spark, odd, none):
 
 
 def check_base(frame):
-    given = [(r.doc_id, mixing.words_of((r.text or "").encode())) for r in frame.collect()]
+    given = [(r.doc_id, (r.text or "").encode().lower().split()) for r in frame.collect()]
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 1
     train = [w for d, w in given if not held(d)]
     c = Counter(x for w in train for x in w)
@@ -406,8 +407,75 @@ def test_code_and_mixture_are_probabilities():
     code = mixing.Code([w for w, _ in words], [c for _, c in words], 1200, 10)
     for tree in code.trees:
         assert sum(2.0 ** -float(n) for n in tree.length) == pytest.approx(1)
-    mixer = mixing.Mixer([np.zeros(2 << mixing.SLOT_BITS, np.int64)] * 3)
-    assert np.allclose(2.0 ** -mixer.cost[0].astype(float) + 2.0 ** -mixer.cost[1].astype(float), 1, atol=1e-5)
+    # Of two texts that differ in one bit of a byte the model's shares for that bit add up to one.
+    tables = [np.zeros(code.slots, np.int16)] * 3
+    for one, two in ((0, 1), (39, code.end)):
+        each = [mixing.bits_of(code.trees[0], mixing.Channel(np.array([w]), np.zeros(1, np.int64), [np.zeros(1, np.uint64)] * 3, code.shift), tables, 1)[0] for w in (one, two)]
+        assert all(x > 0 for x in each)
+    every = [mixing.bits_of(code.trees[0], mixing.Channel(np.array([w]), np.zeros(1, np.int64), [np.zeros(1, np.uint64)] * 3, code.shift), tables, 1)[0] for w in range(code.end + 1)]
+    assert sum(2.0**-x for x in every) == pytest.approx(1, abs=1e-5)
+
+
+def slow_bits(code, tables, text):
+    """Bit by bit: the mix, its map, and what both learn after each chunk."""
+    total, half = 0.0, len(mixing.CONTEXTS[0])
+    for tree, channel, part in zip(code.trees, mixing.Tokens(code, pa.array([text])).channels, (tables[:half], tables[half:])):
+        weight = {g: [mixing.START] * 4 for g in range(4)}
+        cells = {}
+        for a in range(0, len(channel.symbol), mixing.CHUNK):
+            step = []
+            for k in range(a, min(a + mixing.CHUNK, len(channel.symbol))):
+                many, path, slots = channel.slots(tree, np.array([k]))
+                for i in range(int(many[0])):
+                    seen = [int(t[s[i]]) for t, s in zip(part, slots)]
+                    x = [float(tree.odds[path[i]]), *((v >> 2) / 12 for v in seen)]
+                    gate = seen[-1] & 3
+                    dot = max(-12.0, min(12.0, sum(w * v for w, v in zip(weight[gate], x))))
+                    p, cell, bit = 1 / (1 + math.exp(-dot)), round(dot * 4), int(tree.bits[path[i]])
+                    one, all_of = cells.get(cell, (64 / (1 + math.exp(-cell / 4)), 64))
+                    final = (p + one / all_of) / 2
+                    total -= math.log2(final if bit else 1 - final)
+                    step.append((gate, x, bit - p, cell, bit))
+            for g in range(4):
+                own = [s for s in step if s[0] == g]
+                for i in range(4):
+                    weight[g][i] += mixing.RATE / math.sqrt(max(1, len(own))) * sum(s[1][i] * s[2] for s in own)
+            for _, _, _, cell, bit in step:
+                one, all_of = cells.get(cell, (64 / (1 + math.exp(-cell / 4)), 64))
+                cells[cell] = (one + bit, all_of + 1)
+    return total
+
+
+def test_scores_bit_by_bit(spark, docs, monkeypatch):
+    """Counters by dictionaries, and the model by plain loops, against the operator's scores."""
+    kept = {}
+    real = mixing.counters
+    monkeypatch.setattr(mixing, "counters", lambda train, sent: kept.setdefault("tables", (real(train, sent), sent.value))[0])
+    few = docs.where("doc_id < 60")
+    found = {r.doc_id: r for r in mixing.score(few).collect()}
+    tables, code = kept["tables"]
+    given = [(r.doc_id, r.text) for r in few.collect()]
+    count = [Counter() for _ in mixing.TABLES]
+    train = [t or "" for d, t in given if not found[d].held_out]
+    known = list(code.ids)[: code.coded]
+    spelled = mixing.spelling(known, np.zeros(len(known), np.int64), np.full(len(known), mixing.MARKERS), code.shift)
+    for c, (tree, channel) in enumerate([*((i % 2, x) for t in train for i, x in enumerate(mixing.Tokens(code, pa.array([t])).channels)), (1, spelled)]):
+        which, tree = tree, code.trees[tree]
+        _, path, slots = channel.slots(tree, slice(None))
+        for j, slot in enumerate(slots):
+            count[3 * which + j].update(zip(slot.tolist(), tree.bits[path].tolist()))
+    for table, counts in zip(tables, count):
+        seen = {s for s, _ in counts}
+        assert all(table[s] == mixing.odds(np.array([counts[s, 0]]), np.array([counts[s, 1]]))[0] for s in seen)
+        assert len(np.unique(table[np.setdiff1d(np.arange(len(table)), list(seen))])) == 1
+    for d, t in given:
+        assert found[d].score == pytest.approx(-slow_bits(code, tables, t or "") * math.log10(2), rel=1e-4)
+
+
+def test_held_out_texts_score_above_the_base(spark):
+    docs = common.table(spark, "/root/testdata/sf0.1", "documents")
+    held = [r for r in mixing.score(docs).where("held_out").collect()]
+    assert len(held) == 2027 and sum(r.score for r in held) > 0.97 * sum(r.base_score for r in held)
 
 
 # --- 8 ----------------------------------------------------------------------------
