@@ -60,11 +60,11 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
 
 
 def reuse_memory() -> None:
-    """Let this worker keep freed arrays up to 256 MB for the next ones rather than return them to the system each time."""
+    """Let this worker use freed arrays of up to 4 MB again rather than return them to the system each time."""
     libc = ctypes.CDLL(None)
     if hasattr(libc, "mallopt"):
-        libc.mallopt(-3, 1 << 28)  # M_MMAP_THRESHOLD
-        libc.mallopt(-1, 1 << 28)  # M_TRIM_THRESHOLD
+        libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
 
 
 def settled(df: DataFrame) -> DataFrame:
