@@ -12,54 +12,46 @@ thus splits its strings into short runs, one for each anchor.
    its partition. New batches get a suffix array, are merge-scanned against the
    levels there are, and join them; levels of equal size merge, so there are few.
    Anchors with very many kinds of runs, as at the edge of a passage that a great
-   part of all texts share, would fill a partition: their strings are dealt by two
-   digests instead, counted, and matched by those.
+   part of all texts share, would fill a partition: their strings are dealt one by
+   one, by their hash, to the same indexes.
 3. Repeated strings are joined back to their texts, which lose those bytes.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Bytes, blocks, partitions, settled
 
-_BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
+_BASE = 0x9E3779B97F4A7C15 | 1
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 #: Windows that one vectorised step covers.
 SEGMENT = 1 << 19
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POWERS: list[np.ndarray] = []
 
 
-def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    if which not in _POWERS or len(_POWERS[which][0]) < n:
-        base = _BASES[which]
-        up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if not _POWERS or len(_POWERS[0]) < n:
+        up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
-        _POWERS[which] = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
-    up, down = _POWERS[which]
-    return up[:n], down[:n]
+        _POWERS[:] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 class Rolling:
-    """64-bit hashes of any substrings of a buffer."""
+    """64-bit hashes of substrings of a buffer, to choose anchors by; unequal strings may share one."""
 
-    def __init__(self, data: np.ndarray, which: int):
-        up, self.down = _powers(which, len(data) + 1)
+    def __init__(self, data: np.ndarray):
+        up, self.down = _powers(len(data) + 1)
         self.total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=self.total[1:])
 
-    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self.total[end] - self.total[begin]) * self.down[begin]
-        h = (h ^ (h >> np.uint64(33))) * _MIX[0]
-        h = (h ^ (h >> np.uint64(29))) * _MIX[1]
-        return h ^ (h >> np.uint64(32))
-
     def fixed(self, n: int) -> np.ndarray:
         """Hashes of all substrings of n bytes."""
         h = (self.total[n:] - self.total[:-n]) * self.down[: len(self.total) - n]
@@ -82,8 +74,7 @@ def runs_of(data: np.ndarray, start: np.ndarray, width: int, gram: int) -> list[
     out, last_start = [], len(data) - width
     for s in range(0, last_start + 1, SEGMENT):
         part = data[s : min(s + SEGMENT + width - 1, len(data))]
-        one, two = Rolling(part, 0), Rolling(part, 1)
-        h = one.fixed(gram)
+        h = Rolling(part).fixed(gram)
         place = np.arange(len(h), dtype=np.uint64)
         anchor = (least_of((h & ~np.uint64((1 << 24) - 1)) | place, width - gram + 1) & np.uint64((1 << 24) - 1)).astype(np.int64)
         at = np.arange(len(anchor)) + s
@@ -95,10 +86,13 @@ def runs_of(data: np.ndarray, start: np.ndarray, width: int, gram: int) -> list[
         keep = inside[first]
         first, last = first[keep], last[keep]
         a, t = anchor[first], text[first]
-        lead = (a - first).astype(np.uint64) * np.uint64(1 << 20) + (last - first).astype(np.uint64)
-        run = two.of(first, last + width) ^ (lead * _MIX[1])
+        whole, digest = part.tobytes(), xxhash.xxh3_64_digest
+        at, begin, end = a.tolist(), first.tolist(), (last + width).tolist()
+        # Anchors and runs are told apart by sound hashes; the rolling one only chooses anchors.
+        name = np.frombuffer(b"".join([digest(whole[x : x + gram]) for x in at]), ">u8").astype(np.uint64)
+        run = np.frombuffer(b"".join([digest(whole[y:z], x - y) for x, y, z in zip(at, begin, end)]), ">u8").astype(np.uint64)
         base = s - start[t]
-        out.append((t, first + base, last + base, h[a], run))
+        out.append((t, first + base, last + base, name, run))
     return out
 
 
@@ -106,20 +100,22 @@ def runs_of(data: np.ndarray, start: np.ndarray, width: int, gram: int) -> list[
 
 
 class Family:
-    """Suffix arrays of strings of ``width`` bytes, in levels whose sizes double.
+    """Suffix arrays, by bytes, of strings of ``width`` bytes, in levels whose sizes double.
 
-    A level orders its strings by their first four bytes and then by a digest of all
-    of them, so equal strings lie side by side. Whether two strings are equal is
-    settled by 64 more bits of digest and by comparing the bytes.
+    A level holds its strings in byte order, with their first 8 bytes at hand. A new
+    batch is sorted, and merge-scanned against itself and the levels there are: strings
+    that share their first 8 bytes are merged by the next ones, and so on; neighbours
+    that match in all of ``width`` bytes are repeated. Levels of equal size then merge.
     """
 
     def __init__(self, width: int):
         self.width = width
-        self.text = np.zeros(0, np.uint8)
+        self.steps = [*range(0, width - 7, 8), *([width - 8] if width % 8 else [])]
+        self.text = np.zeros(8, np.uint8)
         self.used = 0
         self.at = np.zeros(0, np.int64)  # place in text of each string
         self.repeated = np.zeros(0, bool)
-        self.levels: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def add(self, pieces: list[bytes]) -> np.ndarray:
         """Take in one batch; number of its first string and of each piece's."""
@@ -136,63 +132,47 @@ class Family:
         self.at = np.concatenate([self.at, place + old])
         self.repeated = np.concatenate([self.repeated, np.zeros(len(place), bool)])
         if len(place):
-            self._insert(joined, place, base)
+            self._insert(np.arange(base, base + len(place)))
         return base + np.cumsum(many) - many
 
-    def _insert(self, joined: np.ndarray, place: np.ndarray, base: int) -> None:
-        digest = Rolling(joined, 0).of(place, place + self.width)
-        more = Rolling(joined, 1).of(place, place + self.width)
-        lead = np.zeros(len(place), np.uint64)
-        for j in range(4):
-            lead = (lead << np.uint64(8)) | joined[place + j]
-        key = (lead << np.uint64(32)) | (digest >> np.uint64(32))
-        order = np.argsort(key)
-        level = (key[order], more[order], base + order)
-        self._scan(level, level, same=True)
-        for other in self.levels.values():
-            self._scan(level, other, same=False)
+    def _insert(self, fresh: np.ndarray) -> None:
+        level = self._merged(self._words(fresh, 0), fresh)
+        for key, ref in self.levels.values():
+            here, there = np.isin(level[0], key), np.isin(key, level[0])
+            if here.any():
+                self._merged(np.concatenate([level[0][here], key[there]]), np.concatenate([level[1][here], ref[there]]))
         rank = 0
         while rank in self.levels:
-            level = self._merged(self.levels.pop(rank), level)
+            key, ref = self.levels.pop(rank)
+            level = self._merged(np.concatenate([key, level[0]]), np.concatenate([ref, level[1]]))
             rank += 1
         self.levels[rank] = level
 
-    @staticmethod
-    def _merged(a, b):
-        key = np.concatenate([a[0], b[0]])
+    def _words(self, ref: np.ndarray, step: int) -> np.ndarray:
+        """Eight bytes of each string as a number that orders as they do."""
+        whole = np.ndarray(len(self.text) - 7, ">u8", self.text, strides=(1,))
+        return whole[self.at[ref] + step].astype(np.uint64)
+
+    def _merged(self, key: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Strings in byte order (two runs in order are merged, by a stable sort); marks those that match throughout."""
         order = np.argsort(key, kind="stable")
-        return key[order], np.concatenate([a[1], b[1]])[order], np.concatenate([a[2], b[2]])[order]
-
-    def _scan(self, new, old, same: bool) -> None:
-        """Mark strings of ``new`` and ``old`` that are equal."""
-        if same:
-            key, more, ref = new
-            here = np.flatnonzero(key[1:] == key[:-1])
-            self._settle(here, here + 1, new, new)
-            here = here[more[here] != more[here + 1]]
-            for i in here:  # different strings of equal key: compare each with all of its run
-                a, b = np.searchsorted(key, key[i], "left"), np.searchsorted(key, key[i], "right")
-                x, y = np.triu_indices(int(b - a), 1)
-                self._settle(a + x, a + y, new, new)
-            return
-        at = np.searchsorted(old[0], new[0])
-        hit = np.flatnonzero(old[0][np.minimum(at, len(old[0]) - 1)] == new[0])
-        at = at[hit]
-        self._settle(hit, at, new, old)
-        odd = old[1][at] != new[1][hit]
-        for i in hit[odd]:
-            a, b = np.searchsorted(old[0], new[0][i], "left"), np.searchsorted(old[0], new[0][i], "right")
-            self._settle(np.full(int(b - a), i), np.arange(a, b), new, old)
-
-    def _settle(self, i: np.ndarray, j: np.ndarray, one, two) -> None:
-        maybe = one[1][i] == two[1][j]
-        x, y = one[2][i[maybe]], two[2][j[maybe]]
-        step = np.arange(self.width)
-        for k in range(0, len(x), 1 << 14):
-            p, q = x[k : k + (1 << 14)], y[k : k + (1 << 14)]
-            equal = (self.text[self.at[p][:, None] + step] == self.text[self.at[q][:, None] + step]).all(axis=1)
-            self.repeated[p[equal]] = True
-            self.repeated[q[equal]] = True
+        key, ref = key[order], ref[order]
+        equal = key[1:] == key[:-1]  # of each string and the next, as far as compared
+        for step in self.steps[1:]:
+            if not equal.any():
+                break
+            tied = np.concatenate([equal, [False]]) | np.concatenate([[False], equal])
+            at = np.flatnonzero(tied)
+            group = np.cumsum(~np.concatenate([[False], equal])[at])
+            now = self._words(ref[at], step)
+            order = np.lexsort((now, group))
+            ref[at], now = ref[at[order]], now[order]
+            same = np.concatenate([(now[1:] == now[:-1]) & (group[1:] == group[:-1]), [False]])
+            equal[at[:-1]] = same[:-1]
+        at = np.flatnonzero(equal)
+        self.repeated[ref[at]] = True
+        self.repeated[ref[at + 1]] = True
+        return key, ref
 
 
 # --- the operator -----------------------------------------------------------------
@@ -201,6 +181,7 @@ class Family:
 _RUN = "khash long, rhash long, ida long, idb long, first int, last int, copies int, deal long"
 #: kind 1: repeated as a whole; 2: to be searched; 3: repeated as a whole, and others may match parts of it.
 _KIND = "ida long, idb long, first int, last int, khash long, kind int"
+_PIECE = "khash long, ida long, idb long, first int, kind int, piece binary"
 
 
 def _classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +229,7 @@ def _kinds(c: dict, kind: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array(c[f][at]) for f in names), pa.array(kind[at])], names=[*names, "kind"])
 
 
-def repeats(docs: DataFrame, width: int = 200, gram: int = 40, batch: int = 1 << 18, pieces_in_task: int = 8000, hot: int = 2000) -> DataFrame:
+def repeats(docs: DataFrame, width: int = 200, gram: int = 40, batch: int = 1 << 18, pieces_in_task: int = 8000, hot: int = 20_000) -> DataFrame:
     """(ida, idb, first, last): places of strings of ``width`` bytes that start elsewhere too.
 
     ``docs`` has ida, idb (the identity of a row) and text. An anchor of more than
@@ -293,11 +274,12 @@ def repeats(docs: DataFrame, width: int = 200, gram: int = 40, batch: int = 1 <<
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text", SEGMENT):
             for ida, idb, text, asked in zip(b.column("ida").to_pylist(), b.column("idb").to_pylist(), b.column("text").cast(pa.large_binary()).to_pylist(), b.column("wanted").to_pylist()):
-                data = np.frombuffer(text, np.uint8)
                 for w in asked:
-                    part = data[w["first"] : w["last"] + width]
-                    n = len(part) - width + 1
-                    yield pa.RecordBatch.from_arrays([*(pa.array(Rolling(part, k).fixed(width).view(np.int64)) for k in (0, 1)), pa.array(np.full(n, ida)), pa.array(np.full(n, idb)), pa.array(np.arange(n, dtype=np.int32) + np.int32(w["first"])), pa.array(np.full(n, w["kind"], np.int32))], names=["one", "two", "ida", "idb", "at", "kind"])
+                    at = np.arange(w["first"], w["last"] + 1, dtype=np.int32)
+                    each = [text[i : i + width] for i in at.tolist()]
+                    deal = np.frombuffer(b"".join([xxhash.xxh3_64_digest(x) for x in each]), ">i8").astype(np.int64)
+                    n = len(at)
+                    yield pa.RecordBatch.from_arrays([pa.array(deal), pa.array(np.full(n, ida)), pa.array(np.full(n, idb)), pa.array(at), pa.array(np.full(n, w["kind"], np.int32)), pa.array(each, pa.binary())], names=["khash", "ida", "idb", "first", "kind", "piece"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, taken, waiting, size = Family(width), [], [], 0
@@ -326,14 +308,11 @@ def repeats(docs: DataFrame, width: int = 200, gram: int = 40, batch: int = 1 <<
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows[k : k + 10_000]), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["ida", "idb", "first", "last"])
 
     calm = searched.join(crowded, "khash", "left_anti") if some_hot else searched
-    dealt = held(calm).mapInArrow(pieces, "khash long, ida long, idb long, first int, kind int, piece binary").repartition(max(n, -(-many // pieces_in_task)), "khash")
-    parts = dealt.mapInArrow(search, "ida long, idb long, first int, last int")
-    out = found.where("kind <> 2").select("ida", "idb", "first", "last").union(parts)
+    sent = held(calm).mapInArrow(pieces, _PIECE)
     if some_hot:
-        each = held(searched.join(crowded, "khash", "left_semi")).mapInArrow(strings, "one long, two long, ida long, idb long, at int, kind int")
-        again = each.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two")
-        out = out.union(each.where("kind = 2").join(again, ["one", "two"]).select("ida", "idb", F.col("at").alias("first"), F.col("at").alias("last")))
-    return out
+        sent = sent.union(held(searched.join(crowded, "khash", "left_semi")).mapInArrow(strings, _PIECE))
+    dealt = sent.repartition(max(n, -(-many // pieces_in_task)), "khash")
+    return found.where("kind <> 2").select("ida", "idb", "first", "last").union(dealt.mapInArrow(search, "ida long, idb long, first int, last int"))
 
 
 def identified(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -350,7 +329,8 @@ def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     spans are the maximal removed runs, as [first, last) bytes. Null and empty texts
     and those of fewer than ``width`` bytes keep all they have; null keys and
     repeated rows stay (repeated rows are copies, so their strings go). Strings are
-    judged on the input. Removal may cut a character in two, so ``kept`` is
+    judged on the input. An empty table gives an empty result; columns besides key
+    and text, whatever their names, aren't read. Removal may cut a character in two, so ``kept`` is
     binary; with ``as_text`` it is text without such parts of characters.
     """
     known = identified(docs, key, text)
