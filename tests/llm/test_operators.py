@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -282,6 +283,30 @@ def test_suffix_dedup_of_dense_repeats(spark, tuning):
     check_dedup(frame, 20, gram=6, **tuning)
 
 
+def test_suffix_dedup_of_texts_that_rolling_hashes_confuse(spark):
+    """Thue-Morse words, whose polynomial hashes modulo 2**64 agree, and periods."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rng = random.Random(6)
+    noise = ["".join(rng.choices("cdefg", k=150)) for _ in range(6)]
+    texts = [noise[0] + word[:1024] + noise[1], noise[2] + other[:1024] + noise[3], noise[4] + word[:300], "xy" * 300, noise[5] + "yx" * 120 + noise[0]]
+    frame = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    check_dedup(frame)
+    check_dedup(frame, hot=0)
+
+
+def test_levels_are_in_byte_order():
+    rng = random.Random(3)
+    family = suffix.Family(30)
+    for _ in range(8):
+        family.add([bytes(rng.choices(b"ab", k=200))])
+    for key, ref in family.levels.values():
+        strings = [family.text[family.at[r] : family.at[r] + 30].tobytes() for r in ref.tolist()]
+        assert strings == sorted(strings) and key.tolist() == [int.from_bytes(s[:8]) for s in strings]
+
+
 def test_family_levels_grow_geometrically():
     rng = random.Random(1)
     family, pieces = suffix.Family(10), [bytes(rng.choices(b"ab", k=40)) for _ in range(37)]
@@ -474,6 +499,20 @@ def test_held_out_texts_score_above_the_base(spark):
     assert len(held) == 2027 and sum(r.score for r in held) > 0.97 * sum(r.base_score for r in held)
 
 
+def test_very_long_words(spark):
+    """Words without a break: time in proportion to their length, and the same counts as through the trie."""
+    model, vocabulary = bpe.model(queries.word_bpe()), unigram.from_file(queries.pieces())
+    word = "".join(random.Random(8).choice("abcdeth") for _ in range(20_000))
+    trie = unigram.Trie(vocabulary)
+    at = 0
+    for c in unigram.MARK + word[:6_000]:
+        at = trie._grow(at, c)
+    assert trie.count(word[:6_000]) == trie.tokens[at] and len(trie.child) == 6_002
+    began = time.process_time()
+    model.proposed(word.encode() * 20)
+    assert time.process_time() - began < 10
+
+
 # --- 8 ----------------------------------------------------------------------------
 
 

@@ -86,6 +86,7 @@ class Model:
                     self.left[i], self.right[i] = last
                     self.rank[i] = self.merge[last][0]
         self.longest = max(map(len, self.inside))
+        self.longest_ending = max(map(len, self.ending), default=0)
 
     def merged(self, word: bytes, end: bool = True) -> tuple[list[int], tuple[int, int] | None]:
         """Exact merging: the least rank first, from the left; also the last merge made."""
@@ -132,10 +133,11 @@ class Model:
     def proposed(self, word: bytes) -> list[int]:
         """Greedy longest match."""
         out, at, n = [], 0, len(word)
-        inside, ending, longest = self.inside, self.ending, self.longest
+        inside, ending, longest, last = self.inside, self.ending, self.longest, self.longest_ending
+        most = max(longest, last)
         while True:
-            rest = word[at:] if at else word
-            if (t := ending.get(rest)) is not None:
+            rest = word[at : at + most] if n > most else word[at:] if at else word
+            if n - at <= last and (t := ending.get(rest)) is not None:
                 out.append(t)
                 return out
             for k in range(min(longest, n - at - 1), 0, -1):

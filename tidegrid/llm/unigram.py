@@ -19,6 +19,8 @@ MARK = "▁"
 _WORD = re.compile(r"[^\t\n\v\f\r ]+")
 #: A worker's memory of words; beyond it a new trie begins.
 MOST_NODES = 400_000
+#: Longer words share no prefix worth keeping; they are scored by themselves, in a window of the longest piece.
+LONG = 4_096
 
 
 class Vocabulary:
@@ -72,6 +74,9 @@ class Trie:
         known = self.ends.get(word)
         if known is not None:
             return known
+        if len(word) > LONG:
+            self.ends[word] = self._alone(MARK + word)
+            return self.ends[word]
         child, at = self.child, 0
         for c in MARK + word:
             to = child[at].get(c)
@@ -81,6 +86,27 @@ class Trie:
         self.ends[word] = self.tokens[at]
         return self.tokens[at]
 
+    def _alone(self, text: str) -> int:
+        """The same scores without nodes."""
+        width = self.vocabulary.longest + 1
+        score, tokens = [0.0] * width, [0] * width
+        for i, c in enumerate(text):
+            n = len(c.encode("utf-8", "surrogatepass"))
+            best, fewest = score[i % width] + n * self.vocabulary.byte_score, tokens[i % width] + n
+            way, j = self.vocabulary.back.get(c), i
+            while way is not None:
+                gain = way.get("")
+                if gain is not None:
+                    s, t = score[j % width] + gain, tokens[j % width] + 1
+                    if s > best or (s == best and t < fewest):
+                        best, fewest = s, t
+                if j == 0:
+                    break
+                j -= 1
+                way = way.get(text[j])
+            score[(i + 1) % width], tokens[(i + 1) % width] = best, fewest
+        return tokens[len(text) % width]
+
     def _grow(self, at: int, c: str) -> int:
         parent, letter, score, tokens = self.parent, self.letter, self.score, self.tokens
         n = len(c.encode("utf-8", "surrogatepass"))
@@ -111,7 +137,8 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     Words are what ASCII white space separates, each with a word mark in front. Null
     and empty texts have none. Rows are independent; each worker keeps one trie and
-    starts anew when it has MOST_NODES nodes.
+    starts anew when it has MOST_NODES nodes; a word of more than LONG characters is
+    scored outside the trie.
     """
     docs = docs.drop("n_words", "n_tokens")
     sent, names = docs.sparkSession.sparkContext.broadcast(from_file(path)), docs.columns
@@ -125,6 +152,8 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             ends = trie.ends
             total = [sum(map(ends.__getitem__, w)) for w in words]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array([len(w) for w in words], pa.int64()), pa.array(total, pa.int64())], names=[*names, "n_words", "n_tokens"])
+            for w in [w for w in ends if len(w) > LONG]:
+                del ends[w]
             if len(trie.child) > MOST_NODES:
                 trie = Trie(sent.value)
 

@@ -149,10 +149,11 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: tuple
     judge, a sample bounded by ``most`` for each verdict, so what is broadcast is
     bounded. A null or empty URL has score 0 and is blocked unless a rule allows it;
     repeated rows are judged alike; with no labelled URL, scores are 0 and the
-    threshold is 0.
+    threshold is 0. An empty table gives an empty result; columns besides key and
+    url, whatever their names, aren't read.
     """
     accepted, rejected = labelled(pages, url, rules, most)
-    sent = pages.sparkSession.sparkContext.broadcast((accepted, rejected))
+    sent = pages.sparkSession.sparkContext.broadcast(Ratio(accepted, rejected, order))  # fitted once
     kind = pages.schema[key].dataType.simpleString()
     host, path = parts(F.col("url"))
     small = pages.select(F.col(key).alias("key"), F.col(url).alias("url"))
@@ -160,7 +161,7 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: tuple
     flat = cut.select("key", "url", "host", "path", F.col("ruled.text").alias("rule"), F.col("ruled.verdict").alias("verdict"))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Ratio(*sent.value, order)
+        model = sent.value
         for b in batches:
             score = [model.score(u) if u else 0.0 for u in b.column("url").to_pylist()]
             verdict = [v or ("allow" if u and s >= model.threshold else "block") for v, u, s in zip(b.column("verdict").to_pylist(), b.column("url").to_pylist(), score)]
