@@ -224,12 +224,46 @@ def test_slow_queries_are_logged_and_late_ones_end(catalog, spark, caplog):
         Engine(stuck).run(f"SELECT 'x' BUCKET 's' {T}", timeout_s=2)
 
 
-def test_tag_predicates_reach_the_scan(spark, sf_dir):
+@pytest.mark.parametrize("where, pushed", [("'type' = 'click'", "EqualTo(event_type,click)"), ("'type' = 'click' AND 'shard' = 's1'", "EqualTo(event_type,click)"), ("'type' != 'click'", "Not(EqualTo(event_type,click))")])
+def test_tag_predicates_reach_the_scan_of_the_points(spark, sf_dir, where, pushed):
     from tidegrid.queries import _T
     from tidegrid.sources import tables
 
-    plan = Engine(tables.catalog(spark, sf_dir)).prepare(f"SELECT ALL FROM 'shards' WHERE 'type' = 'click' {_T}", check=False).explain()
-    assert "EqualTo(event_type,click)" in plan
+    plan = Engine(tables.catalog(spark, sf_dir)).prepare(f"SELECT ALL FROM 'shards' WHERE {where} {_T}", check=False).explain()
+    points = [line for line in plan.splitlines() if "PushedFilters" in line and "ts" in line]  # only the points' scan is bounded in time
+    assert points and all(pushed in line for line in points)
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kathmandu"])
+def test_slots_do_not_depend_on_the_zone(spark, zone):
+    from tidegrid.sources.catalog import millis, slot
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        texts = ["2024-03-10 02:30:00", "2024-03-10 03:30:00", "1969-12-31 23:59:59.250", "2024-11-03 01:30:00.125"]
+        frame = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("cast(t as timestamp_ntz) as ts")
+        found = [tuple(r) for r in frame.select(millis("ts"), slot("ts", 3_600_000)).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert found == [(1710037800000, 475010), (1710041400000, 475011), (-750, -1), (1730597400125, 480721)]
+
+
+def test_no_lists_are_gathered(spark, sf_dir):
+    """Percentiles and ordered combiners are aggregates that combine before the shuffle."""
+    from tidegrid import queries
+
+    for name in ("agg_percentile", "agg_median", "cb_product", "cb_diff", "cb_quotient", "top_percentile"):
+        plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().toString()
+        assert "collect_list" not in plan
+
+
+def test_ordered_combiners_of_several_inputs(catalog):
+    """Three inputs, and the same by hand."""
+    one, two = values(catalog, f"SELECT {X} {T}")[0], values(catalog, f"SELECT {Y} {T}")[0]
+    assert values(catalog, f"SELECT diff({X}, {Y}, {Y}) {T}")[0] == pytest.approx([a - 2 * b for a, b in zip(one, two)])
+    quotient = [a / (b or 1) / (b or 1) for a, b in zip(one, two)]
+    assert values(catalog, f"SELECT quotient({X}, {Y}, {Y}) {T}")[0] == pytest.approx(quotient)
 
 
 def test_user_functions(catalog):

@@ -10,10 +10,17 @@ from .registry import Function
 V, C, OFF = "value", "confidence", "off"
 
 
+#: Less than the distance from a rank to the next share k / n above it, for any window that fits a task.
+_ABOVE = 1e-12
+
+
 def picked(p: float) -> Column:
-    """The value at rank floor(n * p) of the window's values in ascending order, the last at most."""
-    values = F.sort_array(F.collect_list(V))
-    return F.element_at(values, (F.least(F.floor(F.count(V) * F.lit(float(p))), F.count(V) - 1) + 1).cast("int"))
+    """The value at rank floor(n * p) of the window's values in ascending order, the last at most.
+
+    That is the first value whose share of the window is over p. Values are counted
+    before the shuffle, so a window holds its distinct values only.
+    """
+    return F.expr(f"percentile_disc({min(1.0, float(p) + _ABOVE)!r}D) WITHIN GROUP (ORDER BY {V})")
 
 
 def _plain(fn):

@@ -9,7 +9,6 @@ from ..plans.errors import BadArgument
 from .registry import Function
 
 
-
 def _divided(c: float) -> Column:
     if not c:
         raise BadArgument("divide by 0")
@@ -37,23 +36,34 @@ def functions() -> list[Function]:
     return out
 
 
-def _folded(step) -> Column:
-    """Left fold in input order; only order-sensitive combiners gather a point's inputs."""
-    ordered = F.sort_array(F.collect_list(F.struct("ord", "value")))
-    return F.aggregate(F.slice(ordered, 2, F.greatest(F.size(ordered) - 1, F.lit(1))), F.element_at(ordered, 1)["value"], lambda acc, x: step(acc, x["value"]))
+def _no_zero(x: Column) -> Column:
+    return F.when(x == 0, 1.0).otherwise(x)
+
+
+def _first_and_rest(two, more) -> Column:
+    """The first input, in input order, against the others, as a hash aggregate.
+
+    ``two`` takes the first and the last of two inputs, ``more`` the first of several;
+    there the others' sum or product is that of all less the first, so its last
+    digits may differ from a step-by-step evaluation. A null input makes it null.
+    """
+    first, last, n = F.min_by("value", "ord"), F.max_by("value", "ord"), F.count("*")
+    return F.when(F.count("value") < n, F.lit(None)).when(n == 1, first).when(n == 2, two(first, last)).otherwise(more(first))
 
 
 def combiners() -> list[Function]:
-    """Aggregates over the inputs of one offset. Sums and extremes combine before the shuffle."""
-    no_zero = lambda x: F.when(x == 0, 1.0).otherwise(x)
+    """Aggregates over the inputs of one offset; all combine before the shuffle.
+
+    sum, avg, min, max and product skip null inputs (as ``first_above`` may give).
+    """
     make = {
         "sum": lambda: F.sum("value"),
         "avg": lambda: F.avg("value"),
         "min": lambda: F.min("value"),
         "max": lambda: F.max("value"),
-        "product": lambda: _folded(lambda a, b: a * b),
-        "diff": lambda: _folded(lambda a, b: a - b),
-        "quotient": lambda: _folded(lambda a, b: a / no_zero(b)),
+        "product": lambda: F.product("value"),
+        "diff": lambda: _first_and_rest(lambda a, b: a - b, lambda a: a - (F.sum("value") - a)),
+        "quotient": lambda: _first_and_rest(lambda a, b: a / _no_zero(b), lambda a: a * _no_zero(a) / F.product(_no_zero(F.col("value")))),
     }
     return [Function(name, "comb", "metric", (), "metric", build, many=True, help=f"{name} of series, point by point") for name, build in make.items()]
 

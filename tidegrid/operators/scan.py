@@ -51,6 +51,21 @@ def tag_test(w) -> Column:
     return value == w.value if w.op == "=" else value != w.value  # a missing tag makes it null, which doesn't pass
 
 
+def tag_test_of_path(w, parts: dict[str, int]) -> Column | None:
+    """What a tag predicate asks of a path whose parts hold tags: a necessary condition, or none."""
+    if isinstance(w, n.Both):
+        both = [tag_test_of_path(x, parts) for x in (w.left, w.right)]
+        known = [t for t in both if t is not None]
+        if w.op == "and":
+            return known[0] & known[1] if len(known) == 2 else known[0] if known else None
+        return both[0] | both[1] if len(known) == 2 else None
+    part = parts.get(tag_key(w.tag.ns, w.tag.key))
+    if part is None or w.op == "exists":
+        return None
+    value = F.get("path", F.lit(part))
+    return value == w.value if w.op == "=" else value != w.value
+
+
 def select(catalog: Catalog, of: n.Get | n.Lookup, tags: Iterable[n.Tag], need_tags: bool) -> list[tuple[Bucket, DataFrame, Column | None]]:
     """(bucket, series, test on paths) of a selector. ``tags`` have to exist."""
     if isinstance(of, n.Get):
@@ -70,6 +85,9 @@ def select(catalog: Catalog, of: n.Get | n.Lookup, tags: Iterable[n.Tag], need_t
             series = series.where(test)
         if of.where is not None:
             series = series.where(tag_test(of.where))
+            known = tag_test_of_path(of.where, bucket.parts)
+            if known is not None:
+                test = known if test is None else test & known
         for t in tags:
             series = series.where(tag(t).isNotNull())
         out.append((bucket, series, test))

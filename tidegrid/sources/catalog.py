@@ -18,14 +18,20 @@ def tag_key(ns: str, key: str) -> str:
     return f"{ns}{MARK}{key}"
 
 
+def _millis(ts: str) -> str:
+    """Of fields of the timestamp: a difference of timestamps would go by the session's zone."""
+    return f"(unix_date(cast({ts} as date)) * 86400000L + hour({ts}) * 3600000L + minute({ts}) * 60000L + cast(extract(SECOND FROM {ts}) * 1000 as bigint))"
+
+
 def millis(ts: str) -> Column:
-    """Milliseconds of a timestamp without zone; doesn't depend on the session's zone."""
-    return F.expr(f"timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', {ts})")
+    """Milliseconds since 1970 of a timestamp without zone, whatever the session's zone."""
+    return F.expr(_millis(ts))
 
 
 def slot(ts: str, resolution_ms: int) -> Column:
     """Index of a timestamp's point in a series of the given resolution."""
-    return F.expr(f"timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', {ts}) div {int(resolution_ms)}L")
+    step = int(resolution_ms)
+    return F.expr(f"({_millis(ts)} - pmod({_millis(ts)}, {step}L)) div {step}L")
 
 
 @dataclass(frozen=True)
@@ -34,12 +40,14 @@ class Bucket:
 
     ``read(start_ms, end_ms)`` gives (path ARRAY<STRING>, idx BIGINT, value DOUBLE),
     unique by (path, idx), for a range of time; it should filter on stored columns,
-    so that the range reaches the scan. Filters on ``path`` are added by the engine.
+    so that the range reaches the scan. Filters on ``path`` are added by the engine,
+    also those of tags that are parts of the path: ``parts`` says which part a tag is.
     """
 
     name: str
     resolution_ms: int
     read: Callable[[int, int], DataFrame]
+    parts: dict[str, int] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import Bucket, Catalog, EventSource, slot, tags
+from .catalog import Bucket, Catalog, EventSource, slot, tag_key, tags
 
 HOUR, DAY = 3_600_000, 86_400_000
 
@@ -31,14 +31,14 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
         return read
 
     one, two = F.array("event_type"), F.array(F.col("event_type"), shard)
-    out.add_bucket(Bucket("events", HOUR, last(one)), events.select("event_type").distinct().select(one.alias("path"), tags(type=F.col("event_type")).alias("tags")))
-    out.add_bucket(Bucket("shards", HOUR, last(two)), events.select("event_type", shard.alias("shard")).distinct().select(F.array("event_type", "shard").alias("path"), tags(type=F.col("event_type"), shard=F.col("shard")).alias("tags")))
+    out.add_bucket(Bucket("events", HOUR, last(one), {tag_key("", "type"): 0}), events.select("event_type").distinct().select(one.alias("path"), tags(type=F.col("event_type")).alias("tags")))
+    out.add_bucket(Bucket("shards", HOUR, last(two), {tag_key("", "type"): 0, tag_key("", "shard"): 1}), events.select("event_type", shard.alias("shard")).distinct().select(F.array("event_type", "shard").alias("path"), tags(type=F.col("event_type"), shard=F.col("shard")).alias("tags")))
     sold = F.array(F.lit("sales"), F.col("l_returnflag"), F.col("l_linestatus"))
 
     def sales(start: int, end: int) -> DataFrame:
         rows = items.where(_between("l_shipdate", start // DAY * DAY, -(-end // DAY) * DAY)).select(sold.alias("path"), slot("l_shipdate", DAY).alias("idx"), "l_quantity")
         return rows.groupBy("path", "idx").agg(F.sum("l_quantity").alias("value"))
 
-    out.add_bucket(Bucket("sales", DAY, sales), items.select("l_returnflag", "l_linestatus").distinct().select(sold.alias("path"), tags(flag=F.col("l_returnflag"), status=F.col("l_linestatus")).alias("tags")))
+    out.add_bucket(Bucket("sales", DAY, sales, {tag_key("", "flag"): 1, tag_key("", "status"): 2}), items.select("l_returnflag", "l_linestatus").distinct().select(sold.alias("path"), tags(flag=F.col("l_returnflag"), status=F.col("l_linestatus")).alias("tags")))
     out.events["events"] = EventSource("events", events, "ts", "props", {"event_type": "event_type", "user_id": "user_id", "value": "value"})
     return out
