@@ -158,6 +158,8 @@ class Family:
         order = np.argsort(key, kind="stable")
         key, ref = key[order], ref[order]
         equal = key[1:] == key[:-1]  # of each string and the next, as far as compared
+        settled = self._settled(ref, equal)
+        equal &= ~settled
         for step in self.steps[1:]:
             if not equal.any():
                 break
@@ -169,11 +171,23 @@ class Family:
             ref[at], now = ref[at[order]], now[order]
             same = np.concatenate([(now[1:] == now[:-1]) & (group[1:] == group[:-1]), [False]])
             equal[at[:-1]] = same[:-1]
-        at = np.flatnonzero(equal)
+        at = np.flatnonzero(equal | settled)
         self.repeated[ref[at]] = True
         self.repeated[ref[at + 1]] = True
         return key, ref
 
+    def _settled(self, ref: np.ndarray, equal: np.ndarray) -> np.ndarray:
+        """Neighbours in groups whose strings all match throughout; these need no more sorting."""
+        live = pairs = np.flatnonzero(equal)
+        for step in self.steps[1:]:
+            live = live[self._words(ref[live], step) == self._words(ref[live + 1], step)]
+        whole = np.zeros(len(equal), bool)
+        whole[live] = True
+        group = np.cumsum(np.concatenate([[True], ~equal]))[:-1]
+        mixed = np.zeros(len(equal) + 2, bool)
+        mixed[group[pairs[~whole[pairs]]]] = True
+        return whole & ~mixed[group]
+
 
 # --- the operator -----------------------------------------------------------------
 
