@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 import random
 import re
 import time
@@ -395,6 +396,18 @@ def test_leaks_odd(spark, odd, none):
     assert {r.n_words for r in decontam.find_leaks(odd, bench.limit(0)).collect() if r.text is None} == {0}
 
 
+def test_index_is_flat():
+    """4 MB of items of random words take a fixed multiple of their text, pickled too, and are found."""
+    rng = random.Random(12)
+    items = [(str(i), " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(200)).encode()) for i in range(3300)]
+    size = sum(len(t) for _, t in items)
+    index = decontam.Index(items)
+    assert 4_000_000 < size and len(pickle.dumps(index, 5)) < 9 * size
+    texts = [items[7][1][300:700].decode(), "a b c", items[3000][1].decode()]
+    count, runs, found = index.scan(common.Bytes(pa.array(texts)))
+    assert found == [["7"], [], ["3000"]] and runs[2] == [(0, 200)] and count.tolist() == [len(t.split()) for t in texts]
+
+
 # --- 7 ----------------------------------------------------------------------------
 
 

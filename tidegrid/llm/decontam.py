@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bytes, blocks, lower_ascii
+from .common import Bytes, blocks, lower_ascii, settled
 
 #: Bytes of a word: 0-9, a-z and all above 7F, after A-Z are lower-cased.
 IN_WORD = np.array([0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 for b in range(256)])
@@ -75,29 +75,30 @@ def symbols(low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 class Family:
-    """Test strings of one length in words."""
-
-    def __init__(self, strings: list[tuple[bytes, ...]], bits: int = 18):
-        self.strings, self.m = strings, len(strings[0])
-        self.block = min(2, self.m)
-        joined = [w for s in strings for w in s]
-        sizes = np.array([len(w) for w in joined])
-        ends = np.cumsum(sizes)
-        self.table = symbols(np.frombuffer(b"".join(joined), np.uint8), ends - sizes, ends).reshape(len(strings), self.m)
+    """Test strings of one length in words: where each begins among all items' words, the shift table and the suffix buckets."""
+
+    def __init__(self, symbol: np.ndarray, first: np.ndarray, m: int):
+        self.symbol, self.string, self.m = symbol, first.astype(np.int32), m
+        self.block = min(2, m)
+        bits = min(max(len(first).bit_length() + 3, 16), 24)  # of the shift table, a byte each
+        self.coarse = 3  # bits fewer for the buckets
         self.shift_bits = np.uint64(64 - bits)
-        reach = self.m - self.block
-        self.shift = np.full(1 << bits, reach + 1, np.int64)
-        for j in range(self.block, self.m + 1):  # blocks that end at symbol j
-            np.minimum.at(self.shift, self.hashed(self.table[:, j - 1], self.table[:, j - self.block]), self.m - j)
-        suffix = self.hashed(self.table[:, -1], self.table[:, -self.block])
-        self.order = np.argsort(suffix, kind="stable")
-        self.first = np.searchsorted(suffix[self.order], np.arange((1 << bits) + 1))
+        self.shift = np.full(1 << bits, m - self.block + 1, np.uint8)
+        suffix = np.empty(len(first), np.int32)
+        for k in range(0, len(first), 1 << 18):
+            part = first[k : k + (1 << 18)]
+            for j in range(self.block, m + 1):  # blocks that end at symbol j
+                at = self.hashed(symbol[part + j - 1], symbol[part + j - self.block])
+                np.minimum.at(self.shift, at, np.uint8(m - j))
+            suffix[k : k + (1 << 18)] = at >> self.coarse
+        self.order = np.argsort(suffix, kind="stable").astype(np.int32)
+        self.bucket = np.searchsorted(suffix[self.order], np.arange((1 << bits - self.coarse) + 1)).astype(np.int32)
 
     def hashed(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
         return (((before * np.uint64(0xA24BAED4963EE407)) ^ last) * _MIX >> self.shift_bits).astype(np.int64)
 
     def search(self, s: np.ndarray, lanes: int = 8192) -> tuple[np.ndarray, np.ndarray]:
-        """(position of the first symbol, string number) of every occurrence by symbols."""
+        """(position of the first symbol, place of the string's first word) of every occurrence by symbols."""
         m, n = self.m, len(s)
         if n < m:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -117,32 +118,38 @@ class Family:
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         at, key = np.concatenate(found, axis=1)
-        some = self.first[key + 1] - self.first[key]
+        key >>= self.coarse
+        some = self.bucket[key + 1] - self.bucket[key]
         row = np.repeat(np.arange(len(at)), some)
         within = np.arange(len(row)) - np.repeat(np.cumsum(some) - some, some)
-        string = self.order[self.first[key][row] + within]
+        string = self.string[self.order[self.bucket[key][row] + within]].astype(np.int64)
         begin = at[row] - m + 1
         for j in range(m):
-            same = s[begin + j] == self.table[string, j]
+            same = s[begin + j] == self.symbol[string + j]
             begin, string = begin[same], string[same]
         return begin, string
 
 
 class Index:
-    """Windows of benchmark items, by length, with the items that hold them."""
+    """Windows of benchmark items in flat arrays: about 40 bytes a word and the texts, whatever the windows overlap."""
 
     def __init__(self, items: list[tuple[str, bytes]], width: int = 10):
-        holders: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-        for name, text in items:
-            low, begin, end, _ = words_of(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-            words = [low[a:b].tobytes() for a, b in zip(begin, end)]
-            if words:
-                for i in range(max(1, len(words) - width + 1)):
-                    holders[tuple(words[i : i + width])].add(name)
-        by: dict[int, list[tuple[bytes, ...]]] = defaultdict(list)
-        for window in holders:
-            by[len(window)].append(window)
-        self.families = [(Family(v), [sorted(holders[w]) for w in v]) for _, v in sorted(by.items())]
+        self.names = [name for name, _ in items]
+        start = np.cumsum([0, *(len(text) for _, text in items)])
+        low, begin, end, owner = words_of(np.frombuffer(b"".join(text for _, text in items), np.uint8), start)
+        self.text, self.begin, self.end, self.owner = low, begin.astype(np.int32), end.astype(np.int32), owner.astype(np.int32)
+        self.symbol = symbols(low, begin, end)
+        count = np.bincount(owner, minlength=len(items))
+        base = np.cumsum(count) - count
+        self.families = []
+        for m in sorted(set(np.minimum(count, width).tolist()) - {0}):
+            which = np.flatnonzero(np.minimum(count, width) == m)
+            many = count[which] - m + 1
+            first = np.repeat(base[which] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            self.families.append(Family(self.symbol, first, m))
+
+    def word(self, k: int) -> bytes:
+        return self.text[self.begin[k] : self.end[k]].tobytes()
 
     def scan(self, texts: Bytes) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[list[str]]]:
         """Per text: number of words, hit word runs [first, last), items."""
@@ -156,13 +163,13 @@ class Index:
         word_at[place] = np.arange(len(begin))
         runs: dict[int, list[tuple[int, int]]] = defaultdict(list)
         items: dict[int, set[str]] = defaultdict(set)
-        for family, names in self.families:
-            for p, k in zip(*family.search(s)):
+        for family in self.families:
+            for p, k in zip(*(x.tolist() for x in family.search(s))):
                 w = int(word_at[p])
-                if all(low[begin[w + j] : end[w + j]].tobytes() == x for j, x in enumerate(family.strings[k])):
+                if all(low[begin[w + j] : end[w + j]].tobytes() == self.word(k + j) for j in range(family.m)):
                     doc = int(owner[w])
                     runs[doc].append((w - int(base[doc]), w - int(base[doc]) + family.m))
-                    items[doc].update(names[k])
+                    items[doc].add(self.names[self.owner[k]])
         return count, [merged(runs[i]) if i in runs else [] for i in range(len(texts))], [sorted(items[i]) if i in items else [] for i in range(len(texts))]
 
 
@@ -188,29 +195,36 @@ def find_leaks(docs: DataFrame, bench: DataFrame, text: str = "text", item: str
     not none, is one window. hit_runs are maximal runs of document words inside
     occurrences. Null texts have no words; items with a null id or text are left
     out; items that repeat count once. A document column that has the name of a
-    result column is replaced. Items are broadcast in blocks of at most
-    ``block_bytes`` of text (a longer item stands alone): each block is one more
-    pass over the documents in the same stage, so the size of a broadcast is
-    bounded and all items count.
+    result column is replaced. Empty tables give no rows, or no hits. Items come to the
+    driver in blocks of at most ``block_bytes`` of text (a longer item stands alone).
+    A block's index, about eight times as large, is built there once and broadcast; it
+    is one more pass over the documents, and a checkpoint keeps passes apart, so that a
+    worker holds one index at a time, its size is bounded and all items count.
     """
     spark = docs.sparkSession
     clean = bench.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).cast("string").alias("name"), F.encode(F.col(item_text), "utf-8").alias("body"))
-    packs: list[list[tuple[str, bytes]]] = [[]]
-    size = 0
-    for row in clean.toLocalIterator():
-        if size and size + len(row.body) > block_bytes:
-            packs.append([])
-            size = 0
-        packs[-1].append((row.name, bytes(row.body)))
-        size += len(row.body)
+
+    def packs() -> Iterator[Index]:
+        pack, size, any_yet = [], 0, False
+        for row in clean.toLocalIterator():
+            if pack and size + len(row.body) > block_bytes:
+                yield Index(pack, width)
+                pack, size, any_yet = [], 0, True
+            pack.append((row.name, bytes(row.body)))
+            size += len(row.body)
+        if pack or not any_yet:
+            yield Index(pack, width)
+
     out = docs.drop("n_words", "hit_runs", "item_ids")
     names = out.columns
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema), FOUND])
-    for k, pack in enumerate(packs):
-        sent = spark.sparkContext.broadcast(pack)
+    for k, index in enumerate(packs()):
+        if k:
+            out = settled(out)
+        sent = spark.sparkContext.broadcast(index)
 
         def step(batches: Iterator[pa.RecordBatch], sent=sent, more=k > 0) -> Iterator[pa.RecordBatch]:
-            index = Index(sent.value, width)
+            index = sent.value
             for b in blocks(batches, text):
                 count, runs, items = index.scan(Bytes(b.column(text)))
                 if more:
