@@ -100,3 +100,33 @@ def test_flood_connects_what_pairs_connect():
         for j in range(i):
             if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j])):
                 assert find(i) == find(j)
+
+
+def test_dense_group_has_few_links(spark):
+    """Near copies that share many keys: a task gives one link a fingerprint at most, and what connects stays connected."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2, 128, dtype=np.uint8)
+    bits = (base ^ (rng.random((600, 128)) < 0.08)).astype(np.uint8)
+    fps = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
+    frame = spark.createDataFrame([tuple(map(int, f)) for f in fps], "one long, two long")
+    found = simhash.links(frame, similar.MOST, simhash.SIXTHS)
+    assert found.count() < 600 * common.partitions(frame)
+    words, names = fps.T.view(np.uint64), simhash.numbers(fps.T.view(np.uint64))
+    apart = sum(np.bitwise_count(w[:, None] ^ w[None, :]).astype(int) for w in words)
+    key, owner = simhash.Keys(simhash.SIXTHS).of(words)
+    parent = np.arange(600)
+    for k in np.unique(key):
+        run = owner[key == k]
+        for i in run:
+            for j in run[apart[i, run] <= similar.MOST]:
+                parent[parent == parent[max(i, j)]] = parent[min(i, j)]
+    roots = {r.node: r.root for r in simhash.components(found).collect()}
+    got = [roots.get(int(x), int(x)) for x in names]
+    assert [min(names[parent == p]) for p in parent] == got and len(set(got)) < 60
+
+
+def test_components_settle_at_stars(spark):
+    """A clique is a star after one round, and no further round is run to see that."""
+    edges = spark.createDataFrame([(a, b) for a in range(9) for b in range(a)] + [(20, 20)], "a long, b long")
+    assert {(r.node, r.root) for r in simhash.components(edges, rounds=1).collect()} == {(x, 0) for x in range(9)}
+    assert simhash.components(edges.where("a > 99"), rounds=1).collect() == []

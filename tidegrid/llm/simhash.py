@@ -209,6 +209,38 @@ def numbers(fp: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+class Forest:
+    """What a task's links connect (union-find)."""
+
+    #: Nodes held at once; then their links are given and the task begins anew.
+    MOST = 1 << 18
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def least(self, x: int) -> int:
+        up, root = self.up, x
+        while (above := up.setdefault(root, root)) != root:
+            root = above
+        while x != root:
+            x, up[x] = up[x], root
+        return root
+
+    def add(self, found: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        for one, two in found:
+            for a, b in zip(one.tolist(), two.tolist()):
+                a, b = self.least(a), self.least(b)
+                if a != b:
+                    self.up[max(a, b)] = min(a, b)
+
+    def links(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """One link for each node but the least of each part; forgets all."""
+        pairs = np.array([(self.least(x), x) for x in self.up], np.int64).reshape(-1, 2)
+        self.up = {}
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        return [(pairs[:, 0], pairs[:, 1])]
+
+
 _LINK = "a long, b long"
 _CHUNK = "key long, part int, fps array<long>"
 #: Runs of so many are compared many runs at a time.
@@ -220,7 +252,9 @@ SAMPLE = 64
 def links(distinct: DataFrame, most: int = 4, segments: tuple[tuple[int, int, int], ...] = HALVES, chunk: int = 1 << 15) -> DataFrame:
     """(a, b): links that connect the distinct fingerprints of ``distinct``, whose columns are their words.
 
-    a and b are ``numbers``. Keys are dealt by value and sorted, and each key's run is
+    a and b are ``numbers``. A dense group meets in many keys; a task joins what its
+    keys connect and gives one link a fingerprint, to the least that it is connected
+    with, so the links of a group are at most its size times the tasks. Keys are dealt by value and sorted, and each key's run is
     read as a stream. A key that a sample shows to be crowded is dealt in salted
     parts. A run of more than ``chunk`` fingerprints is closed in chunks. Chunks and
     parts of one key are then paired, each pair in a group of its own, so a task holds
@@ -242,7 +276,7 @@ def links(distinct: DataFrame, most: int = 4, segments: tuple[tuple[int, int, in
                 yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(x[owner].view(np.int64)) for x in fp)], names=["key", *words])
 
     def closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key, part = [], None, 0
+        held, key, part, forest = [], None, 0, Forest()
 
         def size() -> int:
             return sum(x.shape[1] for x in held)
@@ -267,11 +301,13 @@ def links(distinct: DataFrame, most: int = 4, segments: tuple[tuple[int, int, in
                     rest = np.concatenate(held, axis=1)
                     _closed([rest[:, :chunk]], key, part, most, found, chunks, False)
                     held, part = [rest[:, chunk:]], part + 1
-            yield from _emit(found, chunks)
+            forest.add(found)
+            yield from _emit(forest.links() if len(forest.up) > Forest.MOST else [], chunks)
         found, chunks = [], []
         if held:
             _closed(held, key, part, most, found, chunks, True)
-        yield from _emit(found, chunks)
+        forest.add(found)
+        yield from _emit(forest.links(), chunks)
 
     kind = ", ".join(f"{c} long" for c in words)
     # The sum by fingerprint may leave few partitions, and one row becomes some dozens.
@@ -361,25 +397,23 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps. A node's least neighbour comes from
     a hash aggregate (combined before the shuffle) and is joined back; the join's
-    rows of one hub can be split (adaptive skew joins). Each round is cut by a
-    checkpoint, and the one before is removed.
+    rows of one hub can be split (adaptive skew joins). Each step is cut by a
+    checkpoint, so each join runs once, and the one before is removed. It is done
+    when the edges are stars: no node is on both sides, and none has two roots.
     """
     now = settled(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     for _ in range(rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        after = settled(small)
-        # Done when the edges are stars: nothing but roots on the right, one edge a node.
-        tally = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
-        if tally.unionAll(now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))).distinct().count() == 1:
-            discard(now)
-            return after.select(F.col("u").alias("node"), F.col("v").alias("root")).union(after.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+        large = settled(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         discard(now)
-        now = after
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        moved = F.explode(F.array(*(F.struct(F.col(c).alias("u"), F.col("m").alias("v")) for c in "uv"))).alias("edge")
+        now = settled(large.join(least, "u").select(moved).select("edge.*").where("u <> v").distinct())
+        discard(large)
+        sides = now.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(now.select("v", F.lit(0), F.lit(1)))
+        if sides.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down + up > 1").isEmpty():
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
     raise RuntimeError("components did not settle")
 
 
