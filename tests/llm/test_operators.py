@@ -506,6 +506,20 @@ def test_scores_bit_by_bit(spark, docs, monkeypatch):
         assert found[d].score == pytest.approx(-slow_bits(code, tables, t or "") * math.log10(2), rel=1e-3)
 
 
+def test_each_symbol_is_learnt_before_the_next():
+    """A word that comes again costs less, however short the text is; texts among others of any length score as alone."""
+    rng = np.random.default_rng(9)
+    code = mixing.Code([f"w{i}".encode() for i in range(40)], [50 - i for i in range(40)], 1200, 10)
+    none = [np.zeros(1 << mixing.SLOT_BITS, np.int16)] * 3
+    again = [mixing.bits_of(code.trees[0], mixing.Channel(np.zeros(n, np.int64), np.zeros(n, np.int64), [np.zeros(n, np.uint64)] * 3), none, 1)[0] for n in (1, 2, 3)]
+    assert again[2] - again[1] < again[1] - again[0] < again[0]
+    tables = [rng.integers(-900, 900, 1 << mixing.SLOT_BITS).astype(np.int16) for _ in mixing.TABLES]
+    given = [" ".join(f"w{i}" if i < 40 else "x" * (i - 39) for i in rng.integers(0, 44, n)) for n in [0, 1, 700, 20_000, *range(2, 120)]]
+    found = mixing.total_bits(code, tables, mixing.Tokens(code, pa.array(given)), len(given))
+    for k in (0, 1, 2, 3, 50):
+        assert mixing.total_bits(code, tables, mixing.Tokens(code, pa.array(given[k : k + 1])), 1)[0] == pytest.approx(found[k], rel=1e-12)
+
+
 def test_held_out_texts_score_above_the_base(spark):
     docs = common.table(spark, "/root/testdata/sf0.1", "documents")
     held = [r for r in mixing.score(docs).where("held_out").collect()]

@@ -7,8 +7,9 @@ frequent word; the last two of them). Escaped words are spelled in bytes, coded
 predicted the same way (two bytes before; four; three and the last very frequent
 word). Weights, gated by how much a counter has seen, mix the predictions in the
 logistic domain, and a slope and an offset refine the mix. All start the same for
-every text and are learnt online within it, from chunk to chunk, so a text's score
-doesn't depend on its neighbours and there is nothing to fit on a sample.
+every text and are learnt online within it, after each symbol (a word's code or a
+byte), so a text's score doesn't depend on its neighbours and there is nothing to fit
+on a sample.
 
 Counters cover the whole training corpus; those of the spelling also have every word
 that has a code, once.
@@ -37,7 +38,9 @@ SLOT_BITS = 21
 PIECE = 1 << 15
 _M32 = np.uint32(0x9E3779B1)
 #: Symbols of a text between two steps of its mixer, their rate, and the weights at the start.
-CHUNK, RATE, START = 128, 0.1, 0.4
+CHUNK, RATE, START = 1, 0.1, 0.4
+#: Symbols whose inputs are gathered at once, and text bytes of a block that is scored: the more texts, the more bits a step has.
+GROUP, SCORED = 1 << 14, 3 << 20
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _SPACE = 32
 #: Hashed contexts of the words' code and of the spelling; each has a table of counters for both bits.
@@ -228,12 +231,7 @@ def odds(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 _FINE, _HALF = 64, 768
 _CHANCE = (1 / (1 + np.exp(-np.arange(-_HALF, _HALF + 1) / _FINE))).astype(np.float32)
 _COST = (-np.log2(_CHANCE)).astype(float)  # sums of costs are double
-
-
-def _cell(mix: np.ndarray) -> np.ndarray:
-    cell = mix * np.float32(_FINE)
-    np.clip(cell, -_HALF, _HALF, out=cell)
-    return np.rint(cell, out=cell).astype(np.intp)
+_ZERO = np.float32(_HALF + 0.5)  # of the cells, so that cutting rounds
 
 
 def bits_of(tree: Tree, channel: Channel, tables: list[np.ndarray], texts: int) -> np.ndarray:
@@ -241,6 +239,7 @@ def bits_of(tree: Tree, channel: Channel, tables: list[np.ndarray], texts: int)
 
     All texts of a block take their n-th step at once, each with its own weights and
     its own refinement: a slope and an offset for the mix, learnt in the same steps.
+    The inputs of many steps are gathered together; what is learnt isn't.
     """
     n = len(channel.symbol)
     if not n:
@@ -253,29 +252,46 @@ def bits_of(tree: Tree, channel: Channel, tables: list[np.ndarray], texts: int)
     chunk = (np.arange(n) - (np.cumsum(size) - size)[channel.owner]) // CHUNK
     order = np.lexsort((rank, chunk))
     cuts = np.searchsorted(chunk[order], np.arange(chunk.max() + 2))
-    out = np.zeros(texts)
-    weight = [np.full(texts, START * unit, np.float32) for unit in (1, *[1 / _UNIT] * len(tables))]
-    slope, offset = np.ones(texts, np.float32), np.zeros(texts, np.float32)
-    for a, z in zip(cuts, cuts[1:]):
-        which = order[a:z]
+    out, rows = np.zeros(texts), len(tables) + 1
+    # Weights, slope and offset.
+    state = np.zeros((rows + 2, texts), np.float32)
+    state[0], state[1:rows], state[rows] = START, START / _UNIT, 1
+    unit = np.array([1, *[1 / _UNIT**2] * len(tables), 0.1, 0.1], np.float32)[:, None]
+    k = 0
+    while k < len(cuts) - 1:
+        end = max(k + 1, int(np.searchsorted(cuts, cuts[k] + GROUP, "right")) - 1)
+        which = order[cuts[k] : cuts[end]]
         many, path, bit, slots = channel.slots(tree, which)
-        live = int(rank[which[-1]]) + 1
-        first = np.searchsorted(rank[which], np.arange(live))
+        # What a text has of a step, and where its bits begin.
+        own, step = rank[which], chunk[which]
+        first = np.concatenate([[0], np.flatnonzero((np.diff(own) != 0) | (np.diff(step) != 0)) + 1])
         bits = np.add.reduceat(many, first)
-        start, scale = np.cumsum(bits) - bits, (RATE / np.sqrt(bits)).astype(np.float32)
+        start = np.cumsum(bits) - bits
+        text = np.repeat(own[first], bits)
+        scale = unit * (RATE / np.sqrt(bits)).astype(np.float32)
         # Single precision throughout: whole numbers of 32 bits would make the products double.
-        x, one = [tree.odds.take(path), *(t.take(s).astype(np.float32) for t, s in zip(tables, slots))], bit.astype(np.float32)
-        mix = np.repeat(weight[0][:live], bits) * x[0]
-        for w, v in zip(weight[1:], x[1:]):
-            mix += np.repeat(w[:live], bits) * v
-        wrong = one - _CHANCE.take(_cell(mix) + _HALF)
-        fine = _cell(np.repeat(slope[:live], bits) * mix + np.repeat(offset[:live], bits))
-        out[:live] += np.add.reduceat(_COST.take(fine * (2 * bit - 1) + _HALF), start)
-        late = one - _CHANCE.take(fine + _HALF)
-        for w, v, unit in zip(weight, x, (1, *[1 / _UNIT**2] * len(tables))):
-            w[:live] += scale * np.add.reduceat(wrong * v, start) * np.float32(unit)
-        slope[:live] += scale * np.float32(0.1) * np.add.reduceat(late * mix, start)
-        offset[:live] += scale * np.float32(0.1) * np.add.reduceat(late, start)
+        x, one = np.empty((rows, len(path)), np.float32), bit.astype(np.float32)
+        x[0] = tree.odds.take(path)
+        for row, table, slot in zip(x[1:], tables, slots):
+            row[:] = table.take(slot)
+        cell = np.empty(len(path), np.intp)
+        edge = np.searchsorted(step[first], np.arange(step[0], step[-1] + 2))
+        for a, z, i, j in zip(edge.tolist(), edge[1:].tolist(), start[edge[:-1]].tolist(), [*start[edge[1:-1]].tolist(), len(path)]):
+            now, v, both, move = state.take(text[i:j], axis=1), x[:, i:j], np.empty((2, j - i), np.float32), np.empty((rows + 2, j - i), np.float32)
+            mix, fine = both
+            np.add.reduce(now[:rows] * v, 0, out=mix)
+            np.multiply(now[rows], mix, out=fine)
+            fine += now[rows + 1]
+            cells = (both * np.float32(_FINE) + _ZERO).astype(np.intp)
+            cell[i:j] = cells[1]
+            wrong, late = one[i:j] - _CHANCE.take(cells, mode="clip")
+            np.multiply(v, wrong, out=move[:rows])
+            np.multiply(late, mix, out=move[rows])
+            move[rows + 1] = late
+            state[:, : z - a] += np.add.reduceat(move, start[a:z] - i, axis=1) * scale[:, a:z]
+        np.clip(cell, 0, 2 * _HALF, out=cell)
+        np.add.at(out, text, _COST.take(np.where(one > 0, cell, 2 * _HALF - cell)))
+        k = end
     return out[place]
 
 
@@ -424,7 +440,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", coded: int =
         code = sent.value
         reuse_memory()
         known = np.log10(code.counts + 0.5) - below
-        for b in blocks(batches, "body"):
+        for b in blocks(batches, "body", SCORED):
             n = b.num_rows
             t = Tokens(code, b.column("body"))
             there = t.held >= 0
