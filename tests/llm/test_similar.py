@@ -130,3 +130,22 @@ def test_components_settle_at_stars(spark):
     edges = spark.createDataFrame([(a, b) for a in range(9) for b in range(a)] + [(20, 20)], "a long, b long")
     assert {(r.node, r.root) for r in simhash.components(edges, rounds=1).collect()} == {(x, 0) for x in range(9)}
     assert simhash.components(edges.where("a > 99"), rounds=1).collect() == []
+
+
+def test_small_checkpoints_have_few_files(spark, monkeypatch):
+    """Not one for each of the shuffle's partitions, each of which costs an executor two processes."""
+    files, real = [], simhash.settled
+
+    def noted(df, *rows):
+        files.append((out := real(df, *rows)).rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(simhash, "settled", noted)
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", 20)
+    own.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    edges = own.createDataFrame([(x, x + 1) for x in range(40)], "a long, b long")
+    assert {(r.node, r.root) for r in simhash.components(edges).collect()} == {(x, 0) for x in range(41)}
+    assert len(files) > 2 and set(files[1:]) == {1}
+    many = common.settled(own.range(0, 100, 1, 20), 3 * common.FILE_ROWS)
+    assert many.rdd.getNumPartitions() == 3 and many.count() == 100

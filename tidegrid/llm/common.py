@@ -67,14 +67,21 @@ def reuse_memory() -> None:
         libc.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
 
 
-def settled(df: DataFrame) -> DataFrame:
+#: Rows for which a checkpoint of known size gets one file.
+FILE_ROWS = 1 << 15
+
+
+def settled(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder.
 
-    The folder is the session's spark.checkpoint.dir. Where that is unset, one under
+    About how many ``rows`` there are, if known, bounds its files: for each one a local
+    file system starts two processes (chmod) from the executor. The folder is the session's spark.checkpoint.dir. Where that is unset, one under
     the warehouse folder is taken in local mode, as in tests; a cluster has to name one.
     """
     spark: SparkSession = df.sparkSession
     context = spark.sparkContext
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not re.match(r"local(\[|$)", context.master):

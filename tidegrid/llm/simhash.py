@@ -313,7 +313,8 @@ def links(distinct: DataFrame, most: int = 4, segments: tuple[tuple[int, int, in
     # The sum by fingerprint may leave few partitions, and one row becomes some dozens.
     rows = distinct.repartition(n).mapInArrow(keyed, f"key long, {kind}")
     few = distinct.where(F.pmod(F.xxhash64(*words), F.lit(SAMPLE)) == 0).repartition(n).mapInArrow(keyed, f"key long, {kind}")
-    crowded = settled(few.groupBy("key").count().where(F.col("count") > chunk // SAMPLE).select("key", (F.col("count") * F.lit(2 * SAMPLE / chunk)).cast("int").alias("parts")))
+    crowded = few.groupBy("key").count().where(F.col("count") > chunk // SAMPLE).select("key", (F.col("count") * F.lit(2 * SAMPLE / chunk)).cast("int").alias("parts"))
+    crowded = settled(crowded.coalesce(-(-n // SAMPLE)))
     if crowded.isEmpty():
         rows = rows.withColumn("salt", F.lit(-1))
     else:
@@ -398,18 +399,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star steps. A node's least neighbour comes from
     a hash aggregate (combined before the shuffle) and is joined back; the join's
     rows of one hub can be split (adaptive skew joins). Each step is cut by a
-    checkpoint, so each join runs once, and the one before is removed. It is done
-    when the edges are stars: no node is on both sides, and none has two roots.
+    checkpoint, so each join runs once, and the one before is removed; its files are as
+    many as the edges call for, not as the shuffle's partitions. It is done when the
+    edges are stars: no node is on both sides, and none has two roots.
     """
     now = settled(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    many = now.count()
     for _ in range(rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = settled(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = settled(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), many)
         discard(now)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = F.explode(F.array(*(F.struct(F.col(c).alias("u"), F.col("m").alias("v")) for c in "uv"))).alias("edge")
-        now = settled(large.join(least, "u").select(moved).select("edge.*").where("u <> v").distinct())
+        now = settled(large.join(least, "u").select(moved).select("edge.*").where("u <> v").distinct(), many)
         discard(large)
         sides = now.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(now.select("v", F.lit(0), F.lit(1)))
         if sides.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down + up > 1").isEmpty():

@@ -137,7 +137,7 @@ def least_of_groups(docs: DataFrame, place: str = "place", text: str = "text", c
     near = components(links(least.select("one", "two").distinct(), MOST, SIXTHS))
     named = least.join(near, "node", "left").select("id", "place", "n", F.coalesce("root", "node").alias("root"))
     many = named.groupBy("root").agg(F.count("*").alias("texts"), F.ceil(F.sum("n") / F.lit(chunk)).cast("int").alias("parts")).where("texts > 1")
-    met = settled(named.join(many, "root").select("id", "place", "root", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")))
+    met = settled(named.join(many, "root").select("id", "place", "root", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")), least.count())
 
     # One row for each text, dealt to the pairs of chunks that its own is in.
     texts = rows.join(met, ["id", "place"])
