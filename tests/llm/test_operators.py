@@ -520,6 +520,38 @@ def test_each_symbol_is_learnt_before_the_next():
         assert mixing.total_bits(code, tables, mixing.Tokens(code, pa.array(given[k : k + 1])), 1)[0] == pytest.approx(found[k], rel=1e-12)
 
 
+def test_long_texts_wait_for_others(spark, monkeypatch):
+    """A long text doesn't take steps of its own, and scores as without others; equal rows and what is known of each stay together."""
+    rng = np.random.default_rng(3)
+    given = [" ".join(f"w{i}" for i in rng.integers(0, 60, n)) for n in [0, 3, 30, 40, 50, 900, 800, 700, 60, 650, 2]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*given, given[5], None])], "doc_id long, text string").coalesce(1)
+
+    def scored():
+        return {r.doc_id: tuple(r) for r in mixing.score(docs).collect()}
+
+    most = max(len(t.encode()) for t in given)
+    monkeypatch.setattr(mixing, "SCORED", most)
+    monkeypatch.setattr(mixing, "LONG", 100)
+    found = scored()
+    monkeypatch.setattr(mixing, "LONG", 1 << 30)  # none waits
+    alone = scored()
+    assert sorted(found) == list(range(13)) and found[5][3:] == found[11][3:]
+    for d, row in alone.items():
+        assert found[d] == pytest.approx(row, rel=1e-12)
+
+    calls, real = [], mixing.bits_of
+    code = mixing.Code([f"w{i}".encode() for i in range(60)], [90 - i for i in range(60)], 3000, 10)
+    monkeypatch.setattr(mixing, "bits_of", lambda tree, channel, tables, texts: calls.append(texts) or real(tree, channel, tables, texts))
+    held, tables = mixing.Waiting(), [np.zeros(1 << mixing.SLOT_BITS, np.int16) for _ in mixing.TABLES]
+    for k in (5, 6, 7):
+        tokens = mixing.Tokens(code, pa.array(["w1 w2", given[k]]))
+        held.add(tuple(c.part(np.array([1])) for c in tokens.channels), [np.array([k])])
+    which, bits = held.scored(code, tables)
+    assert calls == [3, 3] and which.tolist() == [5, 6, 7] and not held.blocks
+    for k, x in zip((5, 6, 7), bits):
+        assert x == pytest.approx(mixing.total_bits(code, tables, mixing.Tokens(code, pa.array([given[k]])), 1)[0], rel=1e-12)
+
+
 def test_held_out_texts_score_above_the_base(spark):
     docs = common.table(spark, "/root/testdata/sf0.1", "documents")
     held = [r for r in mixing.score(docs).where("held_out").collect()]

@@ -41,6 +41,8 @@ _M32 = np.uint32(0x9E3779B1)
 CHUNK, RATE, START = 1, 0.1, 0.4
 #: Symbols whose inputs are gathered at once, and text bytes of a block that is scored: the more texts, the more bits a step has.
 GROUP, SCORED = 1 << 14, 3 << 20
+#: Symbols of a text that makes it wait for others as long, so that few texts don't take most steps; and symbols that wait at most.
+LONG, WAITING = 1 << 10, 1 << 20
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _SPACE = 32
 #: Hashed contexts of the words' code and of the spelling; each has a table of counters for both bits.
@@ -121,6 +123,21 @@ class Channel:
         self.symbol, self.owner = symbol, owner
         self.contexts = [((c ^ (c >> np.uint64(29))) * _K[3] >> np.uint64(32)).astype(np.uint32) for c in contexts]
 
+    @classmethod
+    def of(cls, symbol: np.ndarray, owner: np.ndarray, contexts: list[np.ndarray]) -> Channel:
+        """A channel of contexts that are hashed already."""
+        out = cls(symbol, owner, [])
+        out.contexts = contexts
+        return out
+
+    def part(self, texts: np.ndarray) -> Channel:
+        """The symbols of some texts, by their numbers in order; the texts are numbered anew, the others go."""
+        number = np.full(1 + max([*texts[-1:].tolist(), *self.owner[-1:].tolist()], default=0), -1, np.int32)
+        number[texts] = np.arange(len(texts))
+        owner = number[self.owner]
+        which = np.flatnonzero(owner >= 0)
+        return Channel.of(self.symbol[which].astype(np.int32), owner[which], [c[which] for c in self.contexts])
+
     def slots(self, tree: Tree, which: slice | np.ndarray):
         """(code bits of each symbol, place in the tree's paths, the bits, slot in each context's table) of some symbols."""
         s = self.symbol[which]
@@ -249,14 +266,15 @@ def bits_of(tree: Tree, channel: Channel, tables: list[np.ndarray], texts: int)
     place = np.empty(texts, np.int64)
     place[np.argsort(-size, kind="stable")] = np.arange(texts)
     rank = place[channel.owner]
-    chunk = (np.arange(n) - (np.cumsum(size) - size)[channel.owner]) // CHUNK
-    order = np.lexsort((rank, chunk))
+    at = np.arange(n) - (np.cumsum(size) - size)[channel.owner]
+    chunk = at // CHUNK
+    order = np.argsort((chunk * texts + rank) * CHUNK + at % CHUNK)
     cuts = np.searchsorted(chunk[order], np.arange(chunk.max() + 2))
     out, rows = np.zeros(texts), len(tables) + 1
-    # Weights, slope and offset.
+    # Weights, slope and offset; weights and offset in cells, which changes no digit as _FINE is a power of two.
     state = np.zeros((rows + 2, texts), np.float32)
-    state[0], state[1:rows], state[rows] = START, START / _UNIT, 1
-    unit = np.array([1, *[1 / _UNIT**2] * len(tables), 0.1, 0.1], np.float32)[:, None]
+    state[0], state[1:rows], state[rows] = START * _FINE, START / _UNIT * _FINE, 1
+    unit = np.array([_FINE, *[_FINE / _UNIT**2] * len(tables), 0.1 / _FINE, 0.1 * _FINE], np.float32)[:, None]
     k = 0
     while k < len(cuts) - 1:
         end = max(k + 1, int(np.searchsorted(cuts, cuts[k] + GROUP, "right")) - 1)
@@ -267,7 +285,6 @@ def bits_of(tree: Tree, channel: Channel, tables: list[np.ndarray], texts: int)
         first = np.concatenate([[0], np.flatnonzero((np.diff(own) != 0) | (np.diff(step) != 0)) + 1])
         bits = np.add.reduceat(many, first)
         start = np.cumsum(bits) - bits
-        text = np.repeat(own[first], bits)
         scale = unit * (RATE / np.sqrt(bits)).astype(np.float32)
         # Single precision throughout: whole numbers of 32 bits would make the products double.
         x, one = np.empty((rows, len(path)), np.float32), bit.astype(np.float32)
@@ -277,29 +294,59 @@ def bits_of(tree: Tree, channel: Channel, tables: list[np.ndarray], texts: int)
         cell = np.empty(len(path), np.intp)
         edge = np.searchsorted(step[first], np.arange(step[0], step[-1] + 2))
         for a, z, i, j in zip(edge.tolist(), edge[1:].tolist(), start[edge[:-1]].tolist(), [*start[edge[1:-1]].tolist(), len(path)]):
-            now, v, both, move = state.take(text[i:j], axis=1), x[:, i:j], np.empty((2, j - i), np.float32), np.empty((rows + 2, j - i), np.float32)
-            mix, fine = both
-            np.add.reduce(now[:rows] * v, 0, out=mix)
+            # The texts of a step are the first ones, in order.
+            now, v, both, move = np.repeat(state[:, : z - a], bits[a:z], axis=1), x[:, i:j], np.empty((2, j - i), np.float32), np.empty((rows + 3, j - i), np.float32)
+            fine, mix = both
+            np.add.reduce(np.multiply(now[:rows], v, out=move[:rows]), 0, out=mix)
             np.multiply(now[rows], mix, out=fine)
             fine += now[rows + 1]
-            cells = (both * np.float32(_FINE) + _ZERO).astype(np.intp)
-            cell[i:j] = cells[1]
-            wrong, late = one[i:j] - _CHANCE.take(cells, mode="clip")
+            cells = (both + _ZERO).astype(np.intp)
+            cell[i:j] = cells[0]
+            late, wrong = np.subtract(one[i:j], _CHANCE.take(cells, mode="clip"), out=move[rows + 1 :])
             np.multiply(v, wrong, out=move[:rows])
             np.multiply(late, mix, out=move[rows])
-            move[rows + 1] = late
-            state[:, : z - a] += np.add.reduceat(move, start[a:z] - i, axis=1) * scale[:, a:z]
+            state[:, : z - a] += np.add.reduceat(move[: rows + 2], start[a:z] - i, axis=1) * scale[:, a:z]
         np.clip(cell, 0, 2 * _HALF, out=cell)
-        np.add.at(out, text, _COST.take(np.where(one > 0, cell, 2 * _HALF - cell)))
+        out += np.bincount(own[first], np.add.reduceat(_COST.take(np.where(one > 0, cell, 2 * _HALF - cell)), start), texts)
         k = end
     return out[place]
 
 
-def total_bits(code: Code, tables: list[np.ndarray], tokens: Tokens, texts: int) -> np.ndarray:
+def total_bits(code: Code, tables: list[np.ndarray], tokens: Tokens | Joined, texts: int) -> np.ndarray:
     half = len(CONTEXTS[0])
     return sum(bits_of(tree, channel, part, texts) for tree, channel, part in zip(code.trees, tokens.channels, (tables[:half], tables[half:])))
 
 
+class Joined:
+    """The channels of some texts of one or more blocks, in turn."""
+
+    def __init__(self, blocks: list[tuple[Channel, ...]], texts: list[int]):
+        before = (np.cumsum(texts) - texts).astype(np.int32)
+        self.channels = tuple(Channel.of(np.concatenate([c.symbol for c in each]), np.concatenate([c.owner + k for c, k in zip(each, before)]), [np.concatenate(x) for x in zip(*(c.contexts for c in each))]) for each in zip(*blocks))
+
+
+class Waiting:
+    """Long texts of several blocks with what is known of each, to be scored together."""
+
+    def __init__(self):
+        self.blocks, self.rows = [], []
+
+    def add(self, channels: tuple[Channel, ...], rows: list[np.ndarray]) -> None:
+        self.blocks.append(channels)
+        self.rows.append(rows)
+
+    def full(self) -> bool:
+        return sum(len(c.symbol) for channels in self.blocks for c in channels) >= WAITING
+
+    def scored(self, code: Code, tables: list[np.ndarray]) -> list[np.ndarray]:
+        """What is known of each text, and its total bits; then none waits."""
+        texts = [len(r[0]) for r in self.rows]
+        rows = [np.concatenate(x) for x in zip(*self.rows)]
+        joined = Joined(self.blocks, texts)
+        self.blocks, self.rows = [], []
+        return [*rows, total_bits(code, tables, joined, sum(texts))]
+
+
 # --- statistics of the corpus -----------------------------------------------------
 
 
@@ -409,6 +456,7 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 _SCORED = "ida long, idb long, word binary, tf long, n_tokens long, n_known long, base double, bits double, n_bytes long"
+_OWN = ("n_tokens", "n_known", "base", "bits", "n_bytes")
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", coded: int = CODED, held: int = HELD) -> DataFrame:
@@ -440,29 +488,39 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", coded: int =
         code = sent.value
         reuse_memory()
         known = np.log10(code.counts + 0.5) - below
+        waiting = Waiting()
+
+        def own(rows: list[np.ndarray]) -> pa.RecordBatch:
+            ida, idb, n_tokens, n_known, base, n_bytes, bits = rows
+            # A row's own record has a made-up word that no text holds (it has a space), so records spread over tasks.
+            word = [b" %d" % x for x in idb.tolist()]
+            return pa.RecordBatch.from_arrays([pa.array(ida), pa.array(idb), pa.array(word, pa.binary()), pa.nulls(len(ida), pa.int64()), *map(pa.array, (n_tokens, n_known, base, bits, n_bytes))], names=["ida", "idb", "word", "tf", *_OWN])
+
         for b in blocks(batches, "body", SCORED):
             n = b.num_rows
             t = Tokens(code, b.column("body"))
             there = t.held >= 0
             base = np.bincount(t.text[there], weights=known[t.held[there]], minlength=n) + end_base
             n_known = np.bincount(t.text[there], minlength=n) + (texts > 0)
-            bits = total_bits(code, tables.value, t, n)
             ida, idb = (b.column(c).to_numpy(zero_copy_only=False) for c in ("ida", "idb"))
             rare, times = np.unique(t.text[~there] * len(t.kinds) + t.kind[~there], return_counts=True)
             at, words = np.divmod(rare, max(1, len(t.kinds)))
-            none = len(rare)
-            # A row's own record has a made-up word that no text holds (it has a space), so records spread over tasks.
-            own = [b" %d" % x for x in idb.tolist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([ida, ida[at]])),
-                    pa.array(np.concatenate([idb, idb[at]])),
-                    pa.array([*own, *map(t.kinds.__getitem__, words.tolist())], pa.binary()),
-                    pa.array(np.concatenate([np.zeros(n, np.int64), times]), mask=np.arange(n + none) < n),
-                    *(pa.concat_arrays([pa.array(x), pa.nulls(none, kind)]) for x, kind in ((t.many + 1, pa.int64()), (n_known.astype(np.int64), pa.int64()), (base, pa.float64()), (bits, pa.float64()), (pc.fill_null(pc.binary_length(b.column("body")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1, pa.int64()))),
-                ],
-                names=["ida", "idb", "word", "tf", "n_tokens", "n_known", "base", "bits", "n_bytes"],
-            )
+            none = [pa.nulls(len(rare), pa.float64() if c in ("base", "bits") else pa.int64()) for c in _OWN]
+            yield pa.RecordBatch.from_arrays([pa.array(ida[at]), pa.array(idb[at]), pa.array([t.kinds[k] for k in words.tolist()], pa.binary()), pa.array(times), *none], names=["ida", "idb", "word", "tf", *_OWN])
+            n_bytes = pc.fill_null(pc.binary_length(b.column("body")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            rows = [ida, idb, t.many + 1, n_known.astype(np.int64), base, n_bytes]
+            long = np.maximum(*(np.bincount(c.owner, minlength=n) for c in t.channels)) > LONG
+            now = Waiting()
+            for some, held in ((np.flatnonzero(~long), now), (np.flatnonzero(long), waiting)):
+                if len(some):
+                    held.add(tuple(c.part(some) for c in t.channels), [x[some] for x in rows])
+            del t
+            if now.blocks:
+                yield own(now.scored(code, tables.value))
+            if waiting.full():
+                yield own(waiting.scored(code, tables.value))
+        if waiting.blocks:
+            yield own(waiting.scored(code, tables.value))
 
     identity = named.select(F.xxhash64("key").alias("ida"), F.xxhash64("body").alias("idb"), "body")
     seen = identity.mapInArrow(step, _SCORED).join(counts.select("word", F.col("n").alias("c")), "word", "left")
