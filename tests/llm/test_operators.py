@@ -552,6 +552,39 @@ def test_long_texts_wait_for_others(spark, monkeypatch):
         assert x == pytest.approx(mixing.total_bits(code, tables, mixing.Tokens(code, pa.array([given[k]])), 1)[0], rel=1e-12)
 
 
+def test_the_longest_texts_wait_for_the_last():
+    """Few texts that are longer than all others aren't scored with each lot of them, but once, and as alone."""
+    rng = np.random.default_rng(4)
+    code = mixing.Code([f"w{i}".encode() for i in range(60)], [90 - i for i in range(60)], 3000, 10)
+    tables = [rng.integers(-900, 900, 1 << mixing.SLOT_BITS).astype(np.int16) for _ in mixing.TABLES]
+    given = [" ".join(f"w{i}" for i in rng.integers(0, 70, n)) for n in (30, 900, 40, 0, 50, 60, 700, 35, 800, 45)]
+    held, found = mixing.Waiting(), {}
+    for k in (0, 5):
+        held.add(mixing.Tokens(code, pa.array(given[k : k + 5])).channels, [np.arange(k, k + 5)])
+        found |= dict(zip(*(x.tolist() for x in held.scored(code, tables, 2))))
+        assert len(found) == (3, 8)[k > 0] and max(len(given[i]) for i in found) < (200, 3000)[k > 0]
+    assert 1 not in found and 8 not in found
+    which, bits = held.scored(code, tables)
+    assert which.tolist() == [1, 8] and not held.blocks
+    for k, x in (found | dict(zip(which.tolist(), bits.tolist()))).items():
+        assert x == pytest.approx(mixing.total_bits(code, tables, mixing.Tokens(code, pa.array(given[k : k + 1])), 1)[0], rel=1e-12)
+
+
+def test_a_path_has_few_lines_of_a_table():
+    """Of a symbol's bits, each SPAN in turn have slots of one line, and all slots differ; other contexts have other lines."""
+    code = mixing.Code([f"w{i}".encode() for i in range(4000)], [9000 // (i + 1) + 2 for i in range(4000)], 90_000, 10)
+    context = np.random.default_rng(5).integers(0, 1 << 60, 4000).astype(np.uint64)
+    channel = mixing.Channel(np.arange(4000), np.zeros(4000, np.int64), [context] * 3)
+    many, _, _, slots = channel.slots(code.trees[0], slice(None))
+    assert many.max() > 10
+    for k in (0, 17, 3999):
+        part = slots[0][many[:k].sum() : many[: k + 1].sum()].astype(int)
+        lines = [set((part[i : i + mixing.SPAN] >> mixing.SPAN).tolist()) for i in range(0, len(part), mixing.SPAN)]
+        assert all(len(x) == 1 for x in lines) and len(set(part.tolist())) == len(part)
+    first = slots[0][np.cumsum(many) - many]
+    assert len(np.unique(first >> mixing.SPAN)) > 3800 and len(np.unique(first & ((1 << mixing.SPAN) - 1))) == 1 << mixing.SPAN
+
+
 def test_held_out_texts_score_above_the_base(spark):
     docs = common.table(spark, "/root/testdata/sf0.1", "documents")
     held = [r for r in mixing.score(docs).where("held_out").collect()]

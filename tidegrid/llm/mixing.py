@@ -36,13 +36,18 @@ MARKERS = 256
 #: Slots of a context's table, as a power of two: what a worker can hold while it counts (six tables of 16 MB).
 SLOT_BITS = 21
 PIECE = 1 << 15
+#: Nodes of a path that share a line of a context's table, as a worker's cache holds it: a context and the first of them choose the line.
+SPAN = 5
+_LOW = np.uint32((2 << SPAN) - 1)
 _M32 = np.uint32(0x9E3779B1)
 #: Symbols of a text between two steps of its mixer, their rate, and the weights at the start.
 CHUNK, RATE, START = 1, 0.1, 0.4
 #: Symbols whose inputs are gathered at once, and text bytes of a block that is scored: the more texts, the more bits a step has.
 GROUP, SCORED = 1 << 14, 3 << 20
 #: Symbols of a text that makes it wait for others as long, so that few texts don't take most steps; and symbols that wait at most.
-LONG, WAITING = 1 << 10, 1 << 20
+LONG, WAITING = 1 << 10, 3 << 19
+#: Of those that wait, how many of the longest go on waiting while others come, for the steps beyond the others' length would be theirs alone.
+LAST = 64
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _SPACE = 32
 #: Hashed contexts of the words' code and of the spelling; each has a table of counters for both bits.
@@ -100,8 +105,15 @@ class Tree:
             place = self.start[i] + self.length[i] - 1 - k
             nodes[place], self.bits[place] = node, b
         self.odds = np.log((one + 0.5) / (whole - one + 0.5)).astype(np.float32)[nodes]
-        # The node's hash, and the bit that follows in the lowest place.
-        self.mixed = ((np.arange(n, dtype=np.uint64) + np.uint64(1)) * _K[3] >> np.uint64(32)).astype(np.uint32)[nodes] & np.uint32(0xFFFFFFFE) | self.bits.astype(np.uint32)
+        # A path's nodes by SPAN: the hash of the first, and in the lowest places which of the tree below it (from 1) and the bit that follows.
+        begin = np.repeat(self.start, self.length)
+        deep = np.arange(len(nodes)) - begin
+        which = np.ones(len(nodes), np.uint32)
+        for k in range(1, SPAN):
+            at = np.flatnonzero(deep % SPAN == k)
+            which[at] = 2 * which[at - 1] + self.bits[at - 1].astype(np.uint32)
+        top = ((np.arange(n, dtype=np.uint64) + np.uint64(1)) * _K[3] >> np.uint64(32)).astype(np.uint32)[nodes[begin + deep // SPAN * SPAN]]
+        self.mixed = top & ~_LOW | which << np.uint32(1) | self.bits.astype(np.uint32)
 
 
 class Code:
@@ -109,6 +121,7 @@ class Code:
 
     def __init__(self, words: list[bytes], counts: list[int], total: int, texts: int, coded: int = CODED):
         self.ids = {w: i for i, w in enumerate(words)}
+        self.words = pa.array(words, pa.large_binary())
         self.counts = np.array(counts, np.int64)
         # Words seen once are spelled: they tell how often a new word comes, and how one is spelled.
         self.coded = min(coded, int(np.count_nonzero(self.counts > 1)))
@@ -145,10 +158,20 @@ class Channel:
         end = np.cumsum(n)
         first = end - n
         at = np.arange(int(end[-1]) if len(end) else 0, dtype=np.int32) + np.repeat(tree.start[s] - first.astype(np.int32), n)
-        mixed = tree.mixed[at]
-        bit = mixed & np.uint32(1)
-        mixed ^= bit
-        return n, at, bit.astype(np.int32), [((np.repeat(c[which], n) ^ mixed) * _M32) >> np.uint32(32 - SLOT_BITS) for c in self.contexts]
+        mixed = tree.mixed.take(at)
+        low = mixed & _LOW
+        mixed ^= low
+        bit = low & np.uint32(1)
+        low >>= np.uint32(1)
+        out = []
+        for c in self.contexts:
+            slot = c[which].repeat(n)
+            slot ^= mixed
+            slot *= _M32
+            slot >>= np.uint32(32 - SLOT_BITS)
+            slot ^= low
+            out.append(slot)
+        return n, at, bit.astype(np.int32), out
 
 
 class Tokens:
@@ -158,9 +181,8 @@ class Tokens:
         u = np.uint64
         flat, many = words_of(texts)
         kinds = flat.dictionary_encode()
-        whole, edge = Bytes(kinds.dictionary).data.tobytes(), Bytes(kinds.dictionary).start.tolist()
-        self.kinds, self.kind = [whole[a:z] for a, z in zip(edge, edge[1:])], kinds.indices.to_numpy(zero_copy_only=False)
-        held = np.fromiter((code.ids.get(w, -1) for w in self.kinds), np.int64, len(self.kinds))[self.kind]
+        self.kinds, self.kind = kinds.dictionary.cast(pa.large_binary()), kinds.indices.to_numpy(zero_copy_only=False)
+        held = pc.fill_null(pc.index_in(self.kinds, value_set=code.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)[self.kind]
         self.many, self.held = many, held
         self.text = np.repeat(np.arange(len(texts)), many)
         at = np.arange(len(held)) + self.text
@@ -180,7 +202,14 @@ class Tokens:
         two = np.where(count - first > 1, which[count - 2], MARKERS)
         contexts = [one.astype(u) * _K[0], (before.astype(u) + u(1 << 20)) * _K[1], (one.astype(u) * u(MARKERS + 1) + two.astype(u) + u(1 << 40)) * _K[2]]
         which = np.flatnonzero(symbol[at] == code.escape)
-        self.channels = (Channel(symbol, owner, contexts), spelling([self.kinds[k] for k in self.kind[which].tolist()], self.text[which], one[at][which]))
+        self.channels = (Channel(symbol, owner, contexts), spelling(each(self.kinds.take(pa.array(self.kind[which]))), self.text[which], one[at][which]))
+
+
+def each(words: pa.Array) -> list[bytes]:
+    """Words as bytes."""
+    held = Bytes(words)
+    whole, edge = held.data.tobytes(), held.start.tolist()
+    return [whole[a:z] for a, z in zip(edge, edge[1:])]
 
 
 def spelling(words: list[bytes], text: np.ndarray, marker: np.ndarray) -> Channel:
@@ -263,18 +292,20 @@ def bits_of(tree: Tree, channel: Channel, tables: list[np.ndarray], texts: int)
         return np.zeros(texts)
     # Texts by length, so that those of a step come first in every table.
     size = np.bincount(channel.owner, minlength=texts)
-    place = np.empty(texts, np.int64)
+    place = np.empty(texts, np.int32)
     place[np.argsort(-size, kind="stable")] = np.arange(texts)
     rank = place[channel.owner]
     at = np.arange(n) - (np.cumsum(size) - size)[channel.owner]
-    chunk = at // CHUNK
-    order = np.argsort((chunk * texts + rank) * CHUNK + at % CHUNK)
+    chunk = (at // CHUNK).astype(np.int32)
+    order = np.argsort((at // CHUNK * texts + rank) * CHUNK + at % CHUNK)
+    del at
     cuts = np.searchsorted(chunk[order], np.arange(chunk.max() + 2))
     out, rows = np.zeros(texts), len(tables) + 1
     # Weights, slope and offset; weights and offset in cells, which changes no digit as _FINE is a power of two.
     state = np.zeros((rows + 2, texts), np.float32)
     state[0], state[1:rows], state[rows] = START * _FINE, START / _UNIT * _FINE, 1
     unit = np.array([_FINE, *[_FINE / _UNIT**2] * len(tables), 0.1 / _FINE, 0.1 * _FINE], np.float32)[:, None]
+    add, multiply, subtract, total, sums = np.add, np.multiply, np.subtract, np.add.reduce, np.add.reduceat
     k = 0
     while k < len(cuts) - 1:
         end = max(k + 1, int(np.searchsorted(cuts, cuts[k] + GROUP, "right")) - 1)
@@ -293,19 +324,28 @@ def bits_of(tree: Tree, channel: Channel, tables: list[np.ndarray], texts: int)
             row[:] = table.take(slot)
         cell = np.empty(len(path), np.intp)
         edge = np.searchsorted(step[first], np.arange(step[0], step[-1] + 2))
-        for a, z, i, j in zip(edge.tolist(), edge[1:].tolist(), start[edge[:-1]].tolist(), [*start[edge[1:-1]].tolist(), len(path)]):
+        at = np.concatenate([start, [len(path)]])[edge]
+        inner = start - np.repeat(at[:-1], np.diff(edge))
+        most = int(np.diff(at).max())
+        space, pair = np.empty((rows + 2, most), np.float32), np.empty((2, most), np.float32)
+        places = np.empty((2, most), np.intp)
+        for a, z, i, j in zip(edge.tolist(), edge[1:].tolist(), at.tolist(), at[1:].tolist()):
             # The texts of a step are the first ones, in order.
-            now, v, both, move = np.repeat(state[:, : z - a], bits[a:z], axis=1), x[:, i:j], np.empty((2, j - i), np.float32), np.empty((rows + 3, j - i), np.float32)
+            n = j - i
+            own_state, v, move, both, cells = state[:, : z - a], x[:, i:j], space[:, :n], pair[:, :n], places[:, :n]
+            now = own_state.repeat(bits[a:z], 1)
             fine, mix = both
-            np.add.reduce(np.multiply(now[:rows], v, out=move[:rows]), 0, out=mix)
-            np.multiply(now[rows], mix, out=fine)
-            fine += now[rows + 1]
-            cells = (both + _ZERO).astype(np.intp)
+            multiply(now[:rows], v, move[:rows])
+            total(move[:rows], 0, None, mix)
+            multiply(now[rows], mix, fine)
+            add(fine, now[rows + 1], fine)
+            add(both, _ZERO, cells, casting="unsafe")
             cell[i:j] = cells[0]
-            late, wrong = np.subtract(one[i:j], _CHANCE.take(cells, mode="clip"), out=move[rows + 1 :])
-            np.multiply(v, wrong, out=move[:rows])
-            np.multiply(late, mix, out=move[rows])
-            state[:, : z - a] += np.add.reduceat(move[: rows + 2], start[a:z] - i, axis=1) * scale[:, a:z]
+            late, wrong = subtract(one[i:j], _CHANCE.take(cells, None, None, "clip"))
+            multiply(v, wrong, move[:rows])
+            multiply(late, mix, move[rows])
+            move[rows + 1] = late
+            own_state += sums(move, inner[a:z], 1) * scale[:, a:z]
         np.clip(cell, 0, 2 * _HALF, out=cell)
         out += np.bincount(own[first], np.add.reduceat(_COST.take(np.where(one > 0, cell, 2 * _HALF - cell)), start), texts)
         k = end
@@ -338,13 +378,21 @@ class Waiting:
     def full(self) -> bool:
         return sum(len(c.symbol) for channels in self.blocks for c in channels) >= WAITING
 
-    def scored(self, code: Code, tables: list[np.ndarray]) -> list[np.ndarray]:
-        """What is known of each text, and its total bits; then none waits."""
+    def scored(self, code: Code, tables: list[np.ndarray], last: int = 0) -> list[np.ndarray]:
+        """What is known of each text, and its total bits; then none waits, or the ``last`` longest if they are small enough."""
         texts = [len(r[0]) for r in self.rows]
-        rows = [np.concatenate(x) for x in zip(*self.rows)]
+        rows, n = [np.concatenate(x) for x in zip(*self.rows)], sum(texts)
         joined = Joined(self.blocks, texts)
         self.blocks, self.rows = [], []
-        return [*rows, total_bits(code, tables, joined, sum(texts))]
+        if 0 < last < n:
+            size = np.stack([np.bincount(c.owner, minlength=n) for c in joined.channels])
+            order = np.argsort(size.max(0), kind="stable")
+            some, others = np.sort(order[n - last :]), np.sort(order[: n - last])
+            if 2 * size[:, some].sum() <= WAITING:
+                self.add(tuple(c.part(some) for c in joined.channels), [r[some] for r in rows])
+                joined.channels = tuple(c.part(others) for c in joined.channels)
+                rows, n = [r[others] for r in rows], len(others)
+        return [*rows, total_bits(code, tables, joined, n)]
 
 
 # --- statistics of the corpus -----------------------------------------------------
@@ -422,7 +470,7 @@ def counters(docs: DataFrame, sent) -> list[np.ndarray]:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, seen, salt = sent.value, None, 0
         reuse_memory()
-        for b in blocks(batches, "body"):
+        for b in blocks(batches, "body", SCORED):
             seen, salt = seen or Tally(), salt or b.num_rows % 32
             for channel, tree, names in zip(Tokens(code, b.column("body")).channels, code.trees, CONTEXTS):
                 seen.add(tree, channel, names)
@@ -506,7 +554,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", coded: int =
             rare, times = np.unique(t.text[~there] * len(t.kinds) + t.kind[~there], return_counts=True)
             at, words = np.divmod(rare, max(1, len(t.kinds)))
             none = [pa.nulls(len(rare), pa.float64() if c in ("base", "bits") else pa.int64()) for c in _OWN]
-            yield pa.RecordBatch.from_arrays([pa.array(ida[at]), pa.array(idb[at]), pa.array([t.kinds[k] for k in words.tolist()], pa.binary()), pa.array(times), *none], names=["ida", "idb", "word", "tf", *_OWN])
+            yield pa.RecordBatch.from_arrays([pa.array(ida[at]), pa.array(idb[at]), t.kinds.take(pa.array(words)).cast(pa.binary()), pa.array(times), *none], names=["ida", "idb", "word", "tf", *_OWN])
             n_bytes = pc.fill_null(pc.binary_length(b.column("body")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
             rows = [ida, idb, t.many + 1, n_known.astype(np.int64), base, n_bytes]
             long = np.maximum(*(np.bincount(c.owner, minlength=n) for c in t.channels)) > LONG
@@ -518,7 +566,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", coded: int =
             if now.blocks:
                 yield own(now.scored(code, tables.value))
             if waiting.full():
-                yield own(waiting.scored(code, tables.value))
+                yield own(waiting.scored(code, tables.value, LAST))
         if waiting.blocks:
             yield own(waiting.scored(code, tables.value))
 
